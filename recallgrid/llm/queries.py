@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from recallgrid.llm.bpe import token_ids
 from recallgrid.llm.copies import copies, copy_counts
+from recallgrid.llm.packing import windows
 from recallgrid.sources.tables import table
 
 
@@ -14,5 +16,13 @@ def p2_counts(spark, d):
     return copy_counts(table(spark, d, "memories"))
 
 
-QUERIES = {"p2_found": p2_found, "p2_counts": p2_counts}
+def p6_ids(spark, d):
+    return token_ids(table(spark, d, "documents"))
+
+
+def p7_windows(spark, d):
+    return windows(table(spark, d, "documents"))
+
+
+QUERIES = {"p2_found": p2_found, "p2_counts": p2_counts, "p6_ids": p6_ids, "p7_windows": p7_windows}
 ORACLES: dict[str, str] = {}
