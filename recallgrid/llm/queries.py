@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from recallgrid.llm.bpe import token_ids
 from recallgrid.llm.copies import copies, copy_counts
+from recallgrid.llm.neighbours import Index, mutual, neighbours, twentieth, usable
 from recallgrid.llm.packing import windows
 from recallgrid.sources.tables import table
 
@@ -16,6 +17,25 @@ def p2_counts(spark, d):
     return copy_counts(table(spark, d, "memories"))
 
 
+MODEL, NEAREST, SIMILAR = "memo-embed-2", 5, 0.9
+#: Cells that a query looks into: enough for a recall of 0.99 of the neighbours of similarity 0.9 or more, and of 0.9 of all five.
+PROBES_SIMILAR, PROBES_ALL = 12, 36
+
+
+def p3_found(spark, d):
+    vectors = table(spark, d, "memory_vectors")
+    near = neighbours(Index(vectors, MODEL), usable(vectors, MODEL), None, NEAREST, PROBES_SIMILAR, SIMILAR)
+    return mutual(near).selectExpr("a AS memory_id_a", "b AS memory_id_b")
+
+
+def p3_neighbours(spark, d):
+    """The five nearest of every twentieth memory, against all."""
+    vectors = table(spark, d, "memory_vectors")
+    base = usable(vectors, MODEL)
+    near = neighbours(Index(vectors, MODEL), base, base.where(twentieth(base["id"])), NEAREST, PROBES_ALL)
+    return near.selectExpr("a AS memory_id", "b AS neighbour_id", "similarity")
+
+
 def p6_ids(spark, d):
     return token_ids(table(spark, d, "documents"))
 
@@ -24,5 +44,5 @@ def p7_windows(spark, d):
     return windows(table(spark, d, "documents"))
 
 
-QUERIES = {"p2_found": p2_found, "p2_counts": p2_counts, "p6_ids": p6_ids, "p7_windows": p7_windows}
+QUERIES = {"p2_found": p2_found, "p2_counts": p2_counts, "p3_found": p3_found, "p3_neighbours": p3_neighbours, "p6_ids": p6_ids, "p7_windows": p7_windows}
 ORACLES: dict[str, str] = {}
