@@ -28,7 +28,7 @@ from recallgrid.operators.skew import lookup_join
 NAME_LENGTH = 24
 BUCKETS = 4096
 FIELDS = ArrayType(StructType([StructField("name", StringType()), StructField("value", StringType())]))
-_BREAKS = "\n\r\x85  "
+_BREAKS = "\n\r\x85\u2028\u2029"
 _PIECES = re.compile(f"[;|{_BREAKS}]")
 _FIELD = re.compile(r"\s*([^:=]*[^:=\s])\s*[:=](.*\S)\s*", re.S)
 

@@ -6,6 +6,7 @@ from recallgrid.llm.bpe import token_ids
 from recallgrid.llm.copies import copies, copy_counts
 from recallgrid.llm.neighbours import Index, mutual, neighbours, twentieth, usable
 from recallgrid.llm.packing import windows
+from recallgrid.llm.sentences import sentences
 from recallgrid.sources.tables import table
 
 
@@ -44,5 +45,9 @@ def p7_windows(spark, d):
     return windows(table(spark, d, "documents"))
 
 
-QUERIES = {"p2_found": p2_found, "p2_counts": p2_counts, "p3_found": p3_found, "p3_neighbours": p3_neighbours, "p6_ids": p6_ids, "p7_windows": p7_windows}
+def p8_found(spark, d):
+    return sentences(table(spark, d, "documents"))
+
+
+QUERIES = {"p2_found": p2_found, "p2_counts": p2_counts, "p3_found": p3_found, "p3_neighbours": p3_neighbours, "p6_ids": p6_ids, "p7_windows": p7_windows, "p8_found": p8_found}
 ORACLES: dict[str, str] = {}
