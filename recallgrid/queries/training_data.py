@@ -18,7 +18,7 @@ def p5_found(spark, d):
 QUERIES = {"p1_found": p1_found, "p5_found": p5_found}
 
 #: Compatibility forms of ASCII (NFKC has no DuckDB function); the tables' keys use only these.
-_WIDE = "".join(chr(c) for c in range(0xFF01, 0xFF5F)).replace("'", "''") + "　 "
+_WIDE = "".join(chr(c) for c in range(0xFF01, 0xFF5F)).replace("'", "''") + "\u3000\u00a0"
 _ASCII = "".join(chr(c) for c in range(0x21, 0x7F)).replace("'", "''") + "  "
 
 
