@@ -47,6 +47,7 @@ _BREAK = regex.compile(r"\r\n|[\n\r\x0b\x0c\x85\u2028\u2029]")
 _NUMBER = regex.compile(r"[\p{N}.,:\-]+")
 _ROMAN = regex.compile(r"[IVXLC]{1,6}")
 _CJK = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}ー々〆｡-ﾟ、。「」『』（）！？・：；]")
+_NO_SPACES = regex.compile(rf"[{_UNSPACED}\u3001-\u301f\uff01-\uff1f]")
 _CASELESS = regex.compile(r"[\p{Lo}]")
 _MARKER = regex.compile(r"(?:#{1,6}\s|[-*•‣◦▪·]\s+\S|\(?\p{N}{1,3}[.)]\s+\S|\p{Ll}[)]\s+\S)")
 _TURN = regex.compile(r"(?:\[\d{1,2}:\d{2}(?::\d{2})?\]\s*[^\n]|(?:user|assistant|system|tool|[\p{Lu}\p{Lo}][\p{L}\p{M}.'\-]*(?:\s[\p{Lu}\p{Lo}][\p{L}\p{M}.'\-]*){0,2})\s?[:：]\s)")
@@ -134,7 +135,7 @@ class Lines:
             if not here or not after or here.startswith("#") or _TURN.match(after):
                 self.ends.append(True)
                 continue
-            if _CJK.match(after) and _CJK.search(here[-2:]):
+            if _NO_SPACES.search(after.split(None, 1)[0]):
                 wrapped = width[i] >= 15 and raw[i] >= width[i] - 2 and not _ENDS.search(here[-1:])
             else:
                 wrapped = width[i] >= 30 and raw[i] + 1 + len(after.split(None, 1)[0]) > width[i]
