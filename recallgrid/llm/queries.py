@@ -6,6 +6,7 @@ from recallgrid.llm.bpe import token_ids
 from recallgrid.llm.copies import copies, copy_counts
 from recallgrid.llm.neighbours import Index, mutual, neighbours, twentieth, usable
 from recallgrid.llm.packing import windows
+from recallgrid.llm.pii import pii_spans, redacted
 from recallgrid.llm.sentences import sentences
 from recallgrid.sources.tables import table
 
@@ -37,6 +38,16 @@ def p3_neighbours(spark, d):
     return near.selectExpr("a AS memory_id", "b AS neighbour_id", "similarity")
 
 
+def p4_found(spark, d):
+    contents = pii_spans(table(spark, d, "memories"), "id", "content", False, "memories")
+    return contents.unionByName(pii_spans(table(spark, d, "observations"), "id", "payload", True, "observations"))
+
+
+def p4_redacted(spark, d):
+    contents = redacted(table(spark, d, "memories"), "id", "content", False, "memories")
+    return contents.unionByName(redacted(table(spark, d, "observations"), "id", "payload", True, "observations"))
+
+
 def p6_ids(spark, d):
     return token_ids(table(spark, d, "documents"))
 
@@ -49,5 +60,5 @@ def p8_found(spark, d):
     return sentences(table(spark, d, "documents"))
 
 
-QUERIES = {"p2_found": p2_found, "p2_counts": p2_counts, "p3_found": p3_found, "p3_neighbours": p3_neighbours, "p6_ids": p6_ids, "p7_windows": p7_windows, "p8_found": p8_found}
+QUERIES = {"p2_found": p2_found, "p2_counts": p2_counts, "p3_found": p3_found, "p3_neighbours": p3_neighbours, "p4_found": p4_found, "p4_redacted": p4_redacted, "p6_ids": p6_ids, "p7_windows": p7_windows, "p8_found": p8_found}
 ORACLES: dict[str, str] = {}
