@@ -33,7 +33,7 @@ _WORD = re.compile(r"[^\W_]")
 _EMAIL = re.compile(r"(?:mailto:)?([A-Za-z0-9][\w.+\-]*(?:@|＠|\s?\[at\]\s?|\s?\(at\)\s?)[\w\-]+(?:(?:\.|\s?\[dot\]\s?|\s?\(dot\)\s?)[\w\-]+)+)", re.I)
 #: Words in lower case after a name or address, and titles or words in lower case before a name, aren't part of it.
 _TAIL = re.compile(r"(?:\s+[a-zà-ÿ]+)+$")
-_HEAD = re.compile(r"(?:[a-zà-ÿ]+|Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Mme|M|Sr|Sra|Dra)\.?\s+")
+_HEAD = re.compile(r"(?:[a-zà-ÿ]+|Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Mme|Sr|Sra|Dra)\.?\s+")
 
 
 @lru_cache(maxsize=2)
