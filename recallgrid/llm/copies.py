@@ -50,7 +50,7 @@ def split_fields(content: str | None) -> list[tuple[str, str]] | None:
     fields = [_FIELD.fullmatch(p) for p in pieces]
     if not all(m and len(m[1].strip()) <= NAME_LENGTH for m in fields):
         return None
-    return [(m[1], m[2]) for m in fields]
+    return [(m[1].strip(), m[2].strip()) for m in fields]
 
 
 @F.pandas_udf(FIELDS)
