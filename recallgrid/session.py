@@ -46,3 +46,9 @@ def cut_lineage(df):
     """``df`` written once to the shared folder; what follows reads it from there, also after the loss of an executor."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(df):
+    """``df`` over all cores, for maps that cost far more than moving their input; unchanged where the scan has enough tasks already."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(2 * cores) if df.rdd.getNumPartitions() < cores else df
