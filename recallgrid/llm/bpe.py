@@ -22,6 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
+from recallgrid.session import spread
+
 #: The published pattern of this family of vocabularies; a fixed value.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 DEFAULT_RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -152,4 +154,4 @@ def token_ids(documents: DataFrame, key: str = "doc_id", text: str = "text", ran
             flat = np.concatenate(ids) if ids else np.zeros(0, dtype=np.int32)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=["_key", "ids"])
 
-    return source.mapInArrow(encode, out).select(F.col("_key").alias(key), "ids")
+    return spread(source).mapInArrow(encode, out).select(F.col("_key").alias(key), "ids")

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 from recallgrid.llm.bpe import DEFAULT_RANKS, encoder
-from recallgrid.session import cut_lineage
+from recallgrid.session import cut_lineage, spread
 
 WINDOW = 2048
 #: A window of at least this share is emitted at once.
@@ -151,7 +151,7 @@ def windows(documents: DataFrame, key: str = "doc_id", text: str = "text", capac
         if arrow is not None:
             yield packer.flush(arrow, True)
 
-    levels = [cut_lineage(source.mapInArrow(local, schema).withColumn("_task", F.spark_partition_id()))]
+    levels = [cut_lineage(spread(source).mapInArrow(local, schema).withColumn("_task", F.spark_partition_id()))]
     tasks, level = max(1, levels[0].rdd.getNumPartitions()), 0
     while True:
         tasks, level = -(-tasks // FAN_IN), level + 1

@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from recallgrid.llm.tagger import Tagger
+from recallgrid.session import spread
 
 TYPES = ["email", "phone", "id_number", "street_address", "person_name"]
 WEIGHTS = str(Path(__file__).with_name("pii_weights.npz"))
@@ -204,7 +205,7 @@ def pii_spans(records: DataFrame, key: str, text: str, is_json: bool, name: str,
             rows = [(keys[i], kind, t[a:b]) for i, t, spans in zip(of, texts, find(texts, weights)) for a, b, kind in spans]
             yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], pa.string()) for j in range(3)], names=["rec_id", "pii_type", "pii_text"])
 
-    found = records.select(F.col(key).cast("string"), F.col(text).cast("string")).mapInArrow(run, schema).distinct()
+    found = spread(records.select(F.col(key).cast("string"), F.col(text).cast("string"))).mapInArrow(run, schema).distinct()
     return found.select(F.lit(name).alias("rec_table"), "rec_id", "pii_type", "pii_text")
 
 
@@ -230,5 +231,5 @@ def redacted(records: DataFrame, key: str, text: str, is_json: bool, name: str,
                         out.append(_redact_text(v, known[v]))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], names=["rec_id", "redacted"])
 
-    found = records.select(F.col(key).cast("string"), F.col(text).cast("string")).mapInArrow(run, schema)
+    found = spread(records.select(F.col(key).cast("string"), F.col(text).cast("string"))).mapInArrow(run, schema)
     return found.select(F.lit(name).alias("rec_table"), "rec_id", "redacted")

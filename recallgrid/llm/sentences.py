@@ -23,6 +23,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
+from recallgrid.session import cut_lineage, spread
+
 #: Function words of the languages in Latin script; fixed values.
 FUNCTION_WORDS = {
     "en": "the of and to in is that for it with as was on are be this by at from or an have not he she they we you his her its but what which when who all their there been would will can no if our your every nobody two some any more most other than then when while still again now she",
@@ -234,9 +236,7 @@ def learn(documents: DataFrame, text: str = "text", lang: str = "lang") -> dict[
                 yield rows()
         yield rows()
 
-    from recallgrid.session import cut_lineage
-
-    sums = cut_lineage(source.mapInArrow(count, schema).groupBy("lang", "kind", "a", "b").agg(F.sum("n").alias("n")))
+    sums = cut_lineage(spread(source).mapInArrow(count, schema).groupBy("lang", "kind", "a", "b").agg(F.sum("n").alias("n")))
     of = lambda kind: F.sum(F.when(F.col("kind") == kind, F.col("n")).otherwise(0))
     types = sums.where("kind <> 'pair'").groupBy("lang", "a").agg(*[of(k).alias(k) for k in ("dot", "plain", "opens", "upper", "lower", "ordinal")])
     totals = types.groupBy("lang").agg(F.sum(F.col("dot") + F.col("plain")).alias("tokens"), F.sum("dot").alias("dots"))
@@ -466,4 +466,4 @@ def sentences(documents: DataFrame, key: str = "doc_id", text: str = "text", lan
             take = pa.array(np.asarray(at, dtype=np.int64))
             yield pa.RecordBatch.from_arrays([batch.column(0).take(take), pa.array(starts, pa.int64()), pa.array(ends, pa.int64())], names=["_key", "sent_start", "sent_end"])
 
-    return source.mapInArrow(run, schema).select(F.col("_key").alias(key), "sent_start", "sent_end")
+    return spread(source).mapInArrow(run, schema).select(F.col("_key").alias(key), "sent_start", "sent_end")
