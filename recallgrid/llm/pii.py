@@ -32,6 +32,8 @@ WINDOW, STRIDE = 256, 176
 PANEL = 160_000
 _WORD = re.compile(r"[^\W_]")
 _EMAIL = re.compile(r"(?:mailto:)?([A-Za-z0-9][\w.+\-]*(?:@|＠|\s?\[at\]\s?|\s?\(at\)\s?)[\w\-]+(?:(?:\.|\s?\[dot\]\s?|\s?\(dot\)\s?)[\w\-]+)+)", re.I)
+#: What may stand between two parts of one span.
+_JOINTS = {"person_name": (" ", "-", "\u3000"), "street_address": (", ",)}
 #: Words in lower case after a name or address, and titles or words in lower case before a name, aren't part of it.
 _TAIL = re.compile(r"(?:\s+[a-zà-ÿ]+)+$")
 _HEAD = re.compile(r"(?:[a-zà-ÿ]+|Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Mme|Sr|Sra|Dra)\.?\s+")
@@ -151,7 +153,13 @@ def find(texts: list[str], weights: str = WEIGHTS) -> list[list[tuple[int, int,
         for a, b, k in spans:
             good = checked(t, a, b, TYPES[k])
             if good and (not out or good[0] >= out[-1][1]):
-                out.append((*good, TYPES[k]))
+                kind = TYPES[k]
+                if kind == "person_name" and re.search(r"(?<![^\W\d_])[A-Z]\. $", t[max(0, good[0] - 4) : good[0]]):
+                    good = (good[0] - 3, good[1])  # an initial
+                if out and out[-1][2] == kind and t[out[-1][1] : good[0]] in _JOINTS.get(kind, ()):
+                    out[-1] = (out[-1][0], good[1], kind)
+                elif not out or good[0] >= out[-1][1]:
+                    out.append((*good, kind))
         known[t] = out
     return [known.get(t, []) for t in texts]
 
