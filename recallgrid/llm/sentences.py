@@ -268,8 +268,8 @@ def learn(documents: DataFrame, text: str = "text", lang: str = "lang") -> dict[
     abbreviations = abbreviations.join(ending.where(F.col("ends") > SENTENCE_END * F.col("all")), ["lang", "a"], "left_anti")
 
     seconds = pairs.groupBy("lang", "a").agg(F.sum("n").alias("a_n"), F.sum(F.when(F.col("b") == NUMBER, F.col("n")).otherwise(0)).alias("ab"), F.first("tokens").alias("tokens"))
-    spread = seconds.groupBy("lang").agg(F.sum("a_n").alias("all_pairs"), F.sum("ab").alias("all_numbers"))
-    seconds = seconds.join(F.broadcast(spread), "lang")
+    overall = seconds.groupBy("lang").agg(F.sum("a_n").alias("all_pairs"), F.sum("ab").alias("all_numbers"))
+    seconds = seconds.join(F.broadcast(overall), "lang")
     numbers = seconds.where(enough(F.col("ab")) & (F.col("a") != NUMBER) & (F.col("ab") * 2 >= F.col("a_n")) & (_collocated(F.col("a_n"), F.col("all_numbers"), F.col("ab"), F.col("all_pairs")) >= COLLOCATION)).select("lang", "a")
     ordinals = types.where((F.col("a") == NUMBER) & (F.col("ordinal") > ORDINALS * F.col("dot"))).select("lang", "a")
 
