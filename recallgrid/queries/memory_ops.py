@@ -9,6 +9,7 @@ from recallgrid.functions.time import epoch_micros
 from recallgrid.operators import audit, evaluation, graph, lifecycle, outbox, scope, search
 from recallgrid.operators.scope import Scope
 from recallgrid.plans import recall
+from recallgrid.queries import round_both
 from recallgrid.sources.tables import table
 
 NOW, TENANT, MODEL = "2018-02-20 00:00:00", "tenant-0042", "memo-embed-2"
@@ -507,4 +508,5 @@ def list_difference(spark, d):
     return evaluation.list_difference(ranked(e.where("label < 5")), ranked(e.where("label < 6 and vec_id % 11 <> 3")))
 
 
+round_both(Q, S, {"lexical_search": ["coverage"], "retrieval_quality": ["mrr", "mrr_control", "mrr_other"], "detection_quality": ["precision", "recall", "f1"], "margin_statistics": ["mean", "deviation", "least", "most"]})
 QUERIES, ORACLES = Q, S

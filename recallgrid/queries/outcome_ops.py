@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from recallgrid.functions import cleaning
 from recallgrid.operators import evaluation, lifecycle, outcomes
+from recallgrid.queries import round_both
 from recallgrid.queries.memory_ops import LABELS, MEM, TENANT, sql_list
 from recallgrid.sources.tables import table
 
@@ -169,4 +170,5 @@ def expired_recalls(spark, d):
     return outcomes.expired_with_uses(e.where("event_type = 'view'").select(F.col("event_id").alias("recall_id"), F.col("ts").alias("at")), e.where("event_type = 'click'").selectExpr("event_id div 10 as recall_id"), "2024-01-15")
 
 
+round_both(Q, S, {"subject_crossing": ["mixed_share", "mean_eligible"], "margins": ["mean", "deviation", "least", "most"], "footprints": ["estimate"]})
 QUERIES, ORACLES = Q, S
