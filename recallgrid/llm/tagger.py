@@ -69,15 +69,14 @@ def _reversed(x: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 
 
 def squash(z: np.ndarray, square: np.ndarray | None = None) -> np.ndarray:
-    """A rational tanh, in place: z (27 + z^2) / (27 + 9 z^2) between -3 and 3, which is several times as fast."""
+    """A rational tanh, in place: z (27 + z^2) / (27 + 9 z^2) = z (1 + 24 / (3 + z^2)) / 9 between -3 and 3, which is several times as fast."""
     np.minimum(z, 3, out=z)
     np.maximum(z, -3, out=z)
     square = np.multiply(z, z, out=square)
-    square += 27
+    square += 3
+    np.divide(np.float32(24 / 9), square, out=square)
+    square += np.float32(1 / 9)
     z *= square
-    square *= 9
-    square -= 216
-    z /= square
     return z
 
 
@@ -136,12 +135,13 @@ class Tagger:
         """Scores (time, batch, tag) of a time-major batch, padded at its end."""
         h = self.hidden
         forward = self._run(x, "f")
-        backward = _reversed(self._run(_reversed(x, lengths), "b"), lengths)
+        backward = self._run(_reversed(x, lengths), "b")
         n = x.shape[0] * x.shape[1]
         v = self.p["V"] * np.float32(0.5)
-        scores = forward.reshape(n, h) @ v[:h] + backward.reshape(n, h) @ v[h:]
-        scores += self.p["b"]
-        return scores.reshape(x.shape[0], x.shape[1], self.tags)
+        shape = (x.shape[0], x.shape[1], self.tags)
+        scores = (forward.reshape(n, h) @ v[:h] + self.p["b"]).reshape(shape)
+        scores += _reversed((backward.reshape(n, h) @ v[h:]).reshape(shape), lengths)  # the scores are fewer than the states
+        return scores
 
     def certain_zero(self, scores: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """Texts whose best path has tag 0 throughout, without decoding.
