@@ -32,7 +32,7 @@ def test_cleaning(spark):
 
     from recallgrid.functions import cleaning
 
-    assert cleaning.cut("ab👩‍👩‍👧c", 4) == "ab" and cleaning.cut("é" * 3, 3) == "é" and cleaning.cut(None, 3) is None
+    assert cleaning.cut("ab👩‍👩‍👧c", 4) == "ab" and cleaning.cut("e\u0301" * 3, 3) == "e\u0301" and cleaning.cut(None, 3) is None
     one = spark.createDataFrame([("boom params: 1,2,3", ["a\0", "b", "b"])], "t string, tags array<string>")
     row = one.select(cleaning.failure_text(F.col("t")).alias("f"), cleaning.failure_text(cleaning.failure_text(F.col("t"))).alias("g"), cleaning.clean_tags(F.col("tags")).alias("c")).first()
     assert row.f == row.g == "boom params: 3 values" and row.c == ["b", "b"]
