@@ -426,6 +426,14 @@ def query_words(spark, d):
     return lifecycle.one_each(mem(spark, d)).select("id", F.slice(text.capped_words(F.col("content")), 1, 1).alias("w"))
 
 
+_WORDS = "list_filter(regexp_split_to_array(trim(lower(regexp_replace(substr(content, 1, 600), '[^\\x00-\\x7f]+', ' ', 'g'))), '\\s+'), lambda w: w <> '' AND length(w) <= 64)"
+
+
+@query("query_words_whole", f"SELECT id, list_filter(a, lambda w, i: list_position(a, w) = i)[1:32] AS w FROM (SELECT id, {_WORDS} AS a FROM {MEM} m)")
+def query_words_whole(spark, d):
+    return lifecycle.one_each(mem(spark, d)).select("id", text.capped_words(F.col("content")).alias("w"))
+
+
 @query("content_hashes", f"SELECT id, sha256(content) AS h, coalesce(lower(content_hash) = sha256(content), false) AS same FROM {MEM} m")
 def content_hashes(spark, d):
     h = F.sha2("content", 256)
