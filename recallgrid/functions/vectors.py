@@ -18,6 +18,10 @@ def cosine_distance(a: Column, b: Column) -> Column:
 
 
 def deterministic_embedding(text: Column, dimensions: int = 8) -> Column:
-    """Bucket i has the sum of the codes of characters at positions i, i + dimensions, ..., modulo 997."""
-    codes = F.transform(F.split(text, ""), lambda c: F.ascii(c))
-    return F.transform(F.sequence(F.lit(0), F.lit(dimensions - 1)), lambda i: F.aggregate(F.filter(codes, lambda c, j: j % dimensions == i), F.lit(0), lambda s, c: s + c) % 997)
+    """Bucket i has the sum of the UTF-16 units at positions i, i + dimensions, ..., modulo 997; zeros for an empty text, null for null."""
+    units = F.regexp_extract_all(F.hex(F.encode(text, "UTF-16BE")), F.lit("([0-9A-F]{4})"), F.lit(1))
+    codes = F.transform(units, lambda u: F.conv(u, 16, 10).cast("bigint"))
+    bucket = lambda all_, i: F.aggregate(F.filter(all_, lambda c, j: j % dimensions == i), F.lit(0).cast("bigint"), lambda s, c: s + c) % 997
+    # An array of one, so that the units are decoded once a text and not once a bucket.
+    value = F.transform(F.array(codes), lambda all_: F.transform(F.sequence(F.lit(0), F.lit(dimensions - 1)), lambda i: bucket(all_, i)))[0]
+    return F.when(text.isNotNull(), value)

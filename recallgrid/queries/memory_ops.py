@@ -458,6 +458,11 @@ def deterministic_embedding(spark, d):
     return rows.select("id", F.transform(vectors.deterministic_embedding(F.col("content")), lambda x: x.cast("bigint")).alias("v"))
 
 
+@query("deterministic_embedding_whole")
+def deterministic_embedding_whole(spark, d):
+    return lifecycle.one_each(mem(spark, d)).select("id", vectors.deterministic_embedding(F.col("content")).alias("v"))
+
+
 RANKS = "(SELECT vec_id AS probe_id, CASE WHEN vec_id % 7 = 0 THEN NULL ELSE vec_id % 23 + 1 END AS rank, label < 3 AS control FROM embeddings)"
 
 

@@ -30,3 +30,20 @@ def test_query_words_keep_all_words(spark, tmp_path):
     got = {r.id: r.w for r in query(spark, d).collect()}
     assert got == {k: words_of(v) for k, v in made.items()} and len(got["many"]) == 32 and got["a"] == ["one", "two", "three"]
     assert {r.id: r.w for r in query(spark, FOLDER).collect()} == {k: words_of(v) for k, v in contents(spark).items()}
+
+
+def embedding_of(content):
+    if content is None:
+        return None
+    units = content.encode("utf-16-be")
+    codes = [units[i] * 256 + units[i + 1] for i in range(0, len(units), 2)]
+    return [sum(codes[i::8]) % 997 for i in range(8)]
+
+
+def test_deterministic_embedding_takes_every_content(spark, tmp_path):
+    made = {"plain": "abcdefghij", "accents": "Grüße, café", "japanese": "東京の天気", "astral": "a😀b𝒳", "lines": "a\nb\tc\x00", "long": "語" * 50000, "empty": "", "null": None}
+    d = folder_of(spark, tmp_path, memories=(list(made.items()), "id string, content string"))
+    query = e.queries()["deterministic_embedding_whole"]
+    got = {r.id: r.v for r in query(spark, d).collect()}
+    assert got == {k: embedding_of(v) for k, v in made.items()} and got["empty"] == [0] * 8 and got["null"] is None
+    assert {r.id: r.v for r in query(spark, FOLDER).collect()} == {k: embedding_of(v) for k, v in contents(spark).items()}
