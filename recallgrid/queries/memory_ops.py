@@ -167,6 +167,15 @@ def vector_search_many(spark, d):
     return search.vector_search_many(mem(spark, d), own, queries, LIVE, 10).withColumn("distance", F.round("distance", 9))
 
 
+@query("vector_search_many_whole")
+def vector_search_many_whole(spark, d):
+    """Every twentieth of the tenant's ids by CRC-32, against all its rows in scope."""
+    own = vec(spark, d)
+    asked = own.where((F.col("tenant_id") == TENANT) & (F.size("embedding") == 64) & (F.crc32("memory_id") % 20 == 0))
+    queries = asked.select(F.col("memory_id").alias("key"), F.lit(0).alias("position"), F.col("embedding").alias("query"))
+    return search.vector_search_many(mem(spark, d), own, queries, LIVE, 10).withColumn("distance", F.round("distance", 9))
+
+
 _TOK = "list_filter(regexp_split_to_array(lower(regexp_replace(content, '([\\x00-\\x7f]+)', ' \\1 ', 'g')), '[^\\p{L}\\p{N}]+'), lambda x: x <> '')"
 _LEX = f"""WITH s AS (SELECT id, recorded_at, '|' || array_to_string({_TOK}, '||') || '|' AS line FROM {MEM} m WHERE {LIVE_SQL}),
 c AS (SELECT id, recorded_at, len(regexp_extract_all(line, '\\|open\\|\\|items\\|')) AS a, len(regexp_extract_all(line, '\\|user\\|')) AS b, len(regexp_extract_all(line, '\\|project\\|')) AS c FROM s),

@@ -1,8 +1,15 @@
 """Queries that give all of their job, against brute force; their namesakes keep the parts that their SQL has."""
 
 import re
+import zlib
+from datetime import timedelta
+
+import numpy as np
 
 import __spark_entry__ as e
+from recallgrid.operators import search
+from recallgrid.operators.scope import Scope
+from tests.test_operators import MEMORY, NOW, memory
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -47,3 +54,28 @@ def test_deterministic_embedding_takes_every_content(spark, tmp_path):
     got = {r.id: r.v for r in query(spark, d).collect()}
     assert got == {k: embedding_of(v) for k, v in made.items()} and got["empty"] == [0] * 8 and got["null"] is None
     assert {r.id: r.v for r in query(spark, FOLDER).collect()} == {k: embedding_of(v) for k, v in contents(spark).items()}
+
+
+def test_vector_search_answers_more_queries_than_a_block(spark):
+    n, r = 2 * search.BLOCK + 100, np.random.default_rng(3)
+    x = r.standard_normal((40, 8)).astype("f4")
+    x[7], x[9] = x[3], 0
+    made = [memory(f"m{i:02}", recorded_at=NOW + timedelta(hours=i % 3)) for i in range(41)]
+    stored = [("t", f"m{i:02}", [float(v) for v in x[i]]) for i in range(40)] + [("t", "m40", [1.0, None])]
+    v = spark.createDataFrame(stored, "tenant_id string, memory_id string, embedding array<float>")
+    q = r.standard_normal((n, 8)).astype("f4")
+    asked = spark.createDataFrame([(i, 0, [float(y) for y in q[i]]) for i in range(n)], "key int, position int, query array<float>")
+    got = {(y.key, y.place): (y.id, y.distance) for y in search.vector_search_many(spark.createDataFrame(made, MEMORY), v, asked, Scope("t"), 41).collect()}
+    assert len(got) == n * 41
+    with np.errstate(all="ignore"):
+        want = 1 - (q.astype("f8") @ x.T.astype("f8")) / np.outer(np.linalg.norm(q.astype("f8"), axis=1), np.linalg.norm(x.astype("f8"), axis=1))
+    for i in range(n):
+        ids = [got[i, p][0] for p in range(1, 42)]
+        assert ids[-2:] == ["m40", "m09"] and sorted(ids) == [f"m{j:02}" for j in range(41)] and ids.index("m03") == ids.index("m07") + 1
+        assert np.allclose([got[i, p][1] for p in range(1, 40)], np.sort(np.delete(want[i], 9)), atol=1e-9)
+
+
+def test_vector_search_takes_every_twentieth(spark):
+    want = {r.memory_id for r in spark.read.parquet(f"{FOLDER}/memory_vectors.parquet").where("model = 'memo-embed-2' and tenant_id = 'tenant-0042'").collect() if zlib.crc32(r.memory_id.encode()) % 20 == 0 and len(r.embedding or []) == 64}
+    got = e.queries()["vector_search_many_whole"](spark, FOLDER).groupBy("key").count().collect()
+    assert {r.key for r in got} == want and {r["count"] for r in got} == {10}
