@@ -27,6 +27,34 @@ def observation_text(payload: Column) -> Column:
     )
 
 
+def plain_escapes(json: Column) -> Column:
+    """JSON as JavaScript writes it: surrogate pairs that ``get_json_object`` escapes become their character, other escapes by number get small letters."""
+    pair = r"\\u[dD][89abAB][0-9a-fA-F]{2}\\u[dD][c-fC-F][0-9a-fA-F]{2}"
+    pieces = F.regexp_extract_all(json, F.lit(rf"({pair}|\\u[0-9a-fA-F]{{4}}|\\.|[^\\]+)"), F.lit(1))
+    character = lambda x: F.decode(F.unhex(F.concat(F.substring(x, 3, 4), F.substring(x, 9, 4))), "UTF-16BE")
+    plain = F.transform(pieces, lambda x: F.when(x.rlike(f"^{pair}$"), character(x)).when(x.rlike(r"^\\u[0-9a-fA-F]{4}$"), F.lower(x)).otherwise(x))
+    return F.when(json.contains("\\u"), F.array_join(plain, "")).otherwise(json)
+
+
+def payload_text(payload: Column) -> Column:
+    """The text of an observation's payload as it goes to extraction: marked title and content, marked name and JSON of data, else text, content, name or the payload itself.
+
+    Only true marks; a blank title or empty data doesn't count, nor do values that aren't strings. Parts are two line breaks apart.
+    """
+    parsed = F.try_parse_json(payload)
+    get = lambda k: F.get_json_object(payload, f"$.{k}")
+    kind = lambda k: F.schema_of_variant(F.try_variant_get(parsed, f"$.{k}", "variant"))
+    said = lambda k: F.when((kind(k) == "STRING") & (get(k) != ""), get(k))
+    marked = lambda k: (kind(k) == "BOOLEAN") & (get(k) == "true")
+    title, content, name = said("title"), said("content"), said("name")
+    has_data = kind("data").startswith("OBJECT<") & (get("data") != "{}")
+    return (
+        F.when(marked("extractTitle") & title.rlike(r"[^\s\p{Z}\x{FEFF}]"), F.concat_ws("\n\n", title, content))
+        .when(marked("extractData") & name.isNotNull() & has_data, F.concat_ws("\n\n", name, plain_escapes(get("data"))))
+        .otherwise(F.coalesce(said("text"), content, name, payload, F.lit("null")))
+    )
+
+
 def pad_ascii(text: Column) -> Column:
     """Each ASCII run between spaces, so that words of mixed scripts are tokens of their own."""
     return F.regexp_replace(text, r"([\x00-\x7f]+)", " $1 ")

@@ -420,6 +420,21 @@ def observation_text(spark, d):
     return o.select("id", F.when(named, "name and data").otherwise(text.observation_text(F.col("payload"))).alias("said"))
 
 
+def _said(k: str) -> str:
+    return f"CASE WHEN json_type(payload,'$.{k}') = 'VARCHAR' THEN nullif(json_extract_string(payload,'$.{k}'), '') END"
+
+
+_OTW = f"""CASE WHEN json_type(payload,'$.extractTitle') = 'BOOLEAN' AND json_extract_string(payload,'$.extractTitle') = 'true' AND trim({_said('title')}) <> '' THEN concat_ws(chr(10) || chr(10), {_said('title')}, {_said('content')})
+ WHEN json_type(payload,'$.extractData') = 'BOOLEAN' AND json_extract_string(payload,'$.extractData') = 'true' AND {_said('name')} IS NOT NULL AND json_type(payload,'$.data') = 'OBJECT' AND json_extract(payload,'$.data')::VARCHAR <> '{{}}'
+  THEN concat_ws(chr(10) || chr(10), {_said('name')}, json_extract(payload,'$.data')::VARCHAR)
+ ELSE coalesce({_said('text')}, {_said('content')}, {_said('name')}, payload, 'null') END"""
+
+
+@query("observation_text_whole", f"SELECT id, {_OTW} AS said FROM (SELECT DISTINCT ON (id) * FROM observations)")
+def observation_text_whole(spark, d):
+    return lifecycle.one_each(table(spark, d, "observations")).select("id", text.payload_text(F.col("payload")).alias("said"))
+
+
 @query("heuristic_tokens", "SELECT doc_id, ((length(text) - o) * 18 + o * 5 + 19) // 20 AS n FROM (SELECT doc_id, text, length(regexp_replace(text, '[" + text.CJK + "]', '', 'g')) AS o FROM documents)")
 def heuristic_tokens(spark, d):
     return table(spark, d, "documents").select("doc_id", text.heuristic_tokens(F.col("text")).alias("n"))

@@ -79,3 +79,20 @@ def test_vector_search_takes_every_twentieth(spark):
     want = {r.memory_id for r in spark.read.parquet(f"{FOLDER}/memory_vectors.parquet").where("model = 'memo-embed-2' and tenant_id = 'tenant-0042'").collect() if zlib.crc32(r.memory_id.encode()) % 20 == 0 and len(r.embedding or []) == 64}
     got = e.queries()["vector_search_many_whole"](spark, FOLDER).groupBy("key").count().collect()
     assert {r.key for r in got} == want and {r["count"] for r in got} == {10}
+
+
+def test_observation_text_has_names_and_data(spark, tmp_path):
+    made = {
+        "data": ('{"name": "form", "data": {"note": "Grüße\\n東京 \\"x\\"", "score": 4, "a": [1, null, {}]}, "extractData": true}', 'form\n\n{"note":"Grüße\\n東京 \\"x\\"","score":4,"a":[1,null,{}]}'),
+        "astral": (r'{"name": "n", "data": {"a": "👍👍", "b": "\\ud83d\\udc4d \u001F é"}, "extractData": true}', 'n\n\n' + r'{"a":"👍👍","b":"\\ud83d\\udc4d \u001f é"}'),
+        "unmarked": ('{"name": "form", "data": {"note": 1}}', "form"), "string mark": ('{"name": "form", "data": {"note": 1}, "extractData": "true"}', "form"),
+        "no data": ('{"name": "form", "data": {}, "extractData": true}', "form"), "list": ('{"name": "form", "data": [1], "extractData": true}', "form"),
+        "number": ('{"name": 5, "data": {"a": 1}, "extractData": true}', '{"name": 5, "data": {"a": 1}, "extractData": true}'),
+        "title": ('{"title": "T", "content": "C", "extractTitle": true}', "T\n\nC"), "blank title": ('{"title": "\u3000 ", "content": "C", "extractTitle": true}', "C"), "title alone": ('{"title": "T", "content": "", "extractTitle": true}', "T"),
+        "both": ('{"title": "T", "extractTitle": true, "name": "n", "data": {"a": 1}, "extractData": true}', "T"), "plain title": ('{"title": "T", "content": "C"}', "C"),
+        "text": ('{"text": "x", "content": "C"}', "x"), "empty text": ('{"text": "", "content": "C"}', "C"), "other": ('{"z": 1}', '{"z": 1}'), "null": (None, "null"),
+    }
+    d = folder_of(spark, tmp_path, observations=([(k, v) for k, (v, _) in made.items()], "id string, payload string"))
+    query = e.queries()["observation_text_whole"]
+    assert {r.id: r.said for r in query(spark, d).collect()} == {k: said for k, (_, said) in made.items()}
+    assert query(spark, FOLDER).where("said = 'name and data'").count() == 0
