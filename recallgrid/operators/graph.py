@@ -16,6 +16,21 @@ def adjacency(ids: DataFrame, edges: DataFrame) -> DataFrame:
     return ids.join(related, "id", "left").select("position", "id", F.coalesce("related", F.array().cast("array<string>")).alias("related"))
 
 
+def numbered(ids: DataFrame) -> DataFrame:
+    """Rows ``(position, id)``: distinct ``id`` in order, numbered from 0 over all tasks.
+
+    Ranges of ids are counted, then numbered within; the ranges are written once, as another pass could draw them elsewhere.
+    Only the counts, one row a range, come together in a task.
+    """
+    from pyspark.sql import Window as W
+
+    ranges = cut_lineage(ids.repartitionByRange("id").select("id", F.spark_partition_id().alias("part")))
+    upto = F.sum("n").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, W.currentRow))
+    before = ranges.groupBy("part").agg(F.count("*").alias("n")).select("part", (upto - F.col("n")).alias("before"))
+    own = F.row_number().over(W.partitionBy("part").orderBy("id"))
+    return ranges.withColumn("own", own).join(F.broadcast(before), "part").select((F.col("before") + F.col("own") - 1).cast("bigint").alias("position"), "id")
+
+
 def roots(links: DataFrame) -> DataFrame:
     """Rows ``(id, root_id, depth)``: where each chain of ``(id, parent_id)`` ends, by doubling of the distance.
 

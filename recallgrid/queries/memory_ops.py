@@ -365,6 +365,16 @@ def related_lists(spark, d):
     return graph.adjacency(ids, both)
 
 
+@query("related_lists_whole", """WITH e AS (SELECT id AS from_id, lower(contested_with_id) AS to_id FROM memories WHERE contested_with_id IS NOT NULL UNION SELECT lower(contested_with_id), id FROM memories WHERE contested_with_id IS NOT NULL),
+i AS (SELECT row_number() OVER (ORDER BY id) - 1 AS position, id FROM (SELECT DISTINCT id FROM memories WHERE id IS NOT NULL))
+SELECT position::BIGINT AS position, i.id, coalesce(list_sort(list(DISTINCT to_id) FILTER (to_id IS NOT NULL)), []) AS related FROM i LEFT JOIN e ON e.from_id = i.id GROUP BY ALL""")
+def related_lists_whole(spark, d):
+    m = mem(spark, d)
+    e = m.where("contested_with_id is not null").select(F.col("id").alias("from_id"), F.lower("contested_with_id").alias("to_id"))
+    both = e.unionByName(e.select(F.col("to_id").alias("from_id"), F.col("from_id").alias("to_id")))
+    return graph.adjacency(graph.numbered(m.where("id is not null").select("id").distinct()), both)
+
+
 # The queue is projected from the event stream: every row is a job.
 JOBS = """(SELECT event_id AS job_id, ts AS available_at, CASE WHEN event_id % 3 = 0 THEN NULL ELSE ts + INTERVAL 1 HOUR END AS claimed_at, event_id % 4 AS attempts,
  CASE WHEN event_type = 'signup' THEN ts + INTERVAL 2 HOUR END AS completed_at, CASE WHEN event_type = 'error' THEN ts + INTERVAL 2 HOUR END AS failed_at FROM events)"""

@@ -5,9 +5,10 @@ import zlib
 from datetime import timedelta
 
 import numpy as np
+from pyspark.sql import functions as F
 
 import __spark_entry__ as e
-from recallgrid.operators import search
+from recallgrid.operators import graph, search
 from recallgrid.operators.scope import Scope
 from tests.test_operators import MEMORY, NOW, memory
 
@@ -96,3 +97,24 @@ def test_observation_text_has_names_and_data(spark, tmp_path):
     query = e.queries()["observation_text_whole"]
     assert {r.id: r.said for r in query(spark, d).collect()} == {k: said for k, (_, said) in made.items()}
     assert query(spark, FOLDER).where("said = 'name and data'").count() == 0
+
+
+def test_related_lists_have_every_id(spark, tmp_path):
+    made = [(f"m{i * 7919 % 1000:03}", "M003" if i % 100 == 0 else None) for i in range(1000)] + [("m500", None), (None, None)]
+    d = folder_of(spark, tmp_path, memories=(made, "id string, contested_with_id string"))
+    got = {r.id: (r.position, r.related) for r in e.queries()["related_lists_whole"](spark, d).collect()}
+    with_m003 = {i for i, other in made if other}
+    assert len(got) == 1000 and all(got[f"m{i:03}"][0] == i for i in range(1000))
+    assert set(got["m003"][1]) == with_m003 and got["m003"][1] == sorted(with_m003)
+    assert all(got[i][1] == (["m003"] if i in with_m003 else []) for i in got if i != "m003")
+
+
+def test_numbers_run_on_over_ranges(spark):
+    ids = spark.range(5000).repartition(6).select(F.format_string("%05d", (F.col("id") * 7919 % 5000).cast("int")).alias("id"))
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = graph.numbered(ids).collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+    assert sorted((r.position, int(r.id)) for r in got) == [(i, i) for i in range(5000)]
