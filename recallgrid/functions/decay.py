@@ -26,6 +26,16 @@ def wall_strength(strength: Column, base_ms: Column, now_ms: Column, half_life_h
     return strength * decay_factor((now_ms - base_ms) / 3.6e6, half_life_hours)
 
 
+def activity_strength(strength: Column, base_seq: Column, now_seq: Column, half_life_recalls: Column) -> Column:
+    """Strength at a recall counter; not clamped, as ``wall_strength``."""
+    return strength * decay_factor(now_seq - base_seq, half_life_recalls)
+
+
+def clock_strength(clock: Column, wall: Column, activity: Column) -> Column:
+    """Strength by the tenant's clock: wall, activity, or the larger for either; the wall's without a clock or an activity strength."""
+    return F.when(clock.isin("activity", "either") & activity.isNull(), wall).when(clock == "activity", activity).when(clock == "either", F.greatest(wall, activity)).otherwise(wall)
+
+
 def wall_floor_ms(strength: Column, base_ms: Column, half_life_hours: Column, threshold: float = THRESHOLD) -> Column:
     """Moment at which the strength reaches the threshold, in whole milliseconds."""
     return F.floor(F.least(F.lit(LAST_MS), base_ms + floor_offset(strength, half_life_hours, threshold) * 3.6e6)).cast("bigint")

@@ -34,3 +34,11 @@ def purge_summary(rows: DataFrame, at: str, before: str, limit: int) -> DataFram
 def activity(recalls: DataFrame) -> DataFrame:
     """Rows ``(tenant_id, subject_id, seq)``: counters that recalls advance, a subject's or, with null, the tenant's."""
     return recalls.groupBy("tenant_id", "subject_id").agg(F.count("*").alias("seq"))
+
+
+def activity_now(memories: DataFrame, counters: DataFrame) -> DataFrame:
+    """``memories`` with ``now_seq``: the tenant's counter and that of the row's own subject, 0 where there is none."""
+    tenant = counters.where("subject_id is null").select("tenant_id", F.col("seq").alias("tenant_seq"))
+    own = counters.where("subject_id is not null").select("tenant_id", "subject_id", F.col("seq").alias("own_seq"))
+    rows = memories.join(tenant, "tenant_id", "left").join(own, ["tenant_id", "subject_id"], "left")
+    return rows.withColumn("now_seq", F.coalesce("tenant_seq", F.lit(0)) + F.coalesce("own_seq", F.lit(0))).drop("tenant_seq", "own_seq")

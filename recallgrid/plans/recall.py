@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from recallgrid.functions.decay import wall_strength
+from recallgrid.functions.decay import activity_strength, clock_strength, wall_strength
 from recallgrid.functions.scoring import SCORE_THRESHOLD, affinity, freshness, partition, tag_match, total
 from recallgrid.functions.time import epoch_micros
+from recallgrid.operators.outbox import activity_now
 from recallgrid.operators.scope import Scope
 from recallgrid.operators.search import lexical_search, vector_search, vector_search_many
 
@@ -27,20 +28,40 @@ def candidates(memories: DataFrame, vectors: DataFrame, query: Sequence[float] |
     return near.join(words, "id", "full") if words is not None else near.withColumn("lexical", F.lit(None).cast("double"))
 
 
-def rescored(found: DataFrame, memories: DataFrame, now: str, wanted_tags: Sequence[str] = (), limit: int = LIMIT, threshold: float = SCORE_THRESHOLD) -> DataFrame:
+def scoring_decay(rows: DataFrame, now: str) -> Column:
+    """Decay of ``rows`` at ``now`` for scores: by ``decay_clock`` and ``now_seq`` where the rows have both, else on the wall clock."""
+    spark = rows.sparkSession
+    ms = lambda c: epoch_micros(spark, c) / 1000.0
+    base = F.coalesce(ms(F.col("last_reinforced_at")), ms(F.col("recorded_at")))
+    wall = wall_strength(F.lit(1.0), base, ms(F.lit(now).cast("timestamp_ntz")), F.col("half_life_hours").cast("double"))
+    if not {"decay_clock", "now_seq"} <= set(rows.columns):
+        return wall
+    activity = activity_strength(F.lit(1.0), F.col("decay_base_seq"), F.col("now_seq"), F.col("half_life_recalls").cast("double"))
+    return clock_strength(F.col("decay_clock"), wall, activity)
+
+
+def clocked(rows: DataFrame, settings: DataFrame, counters: DataFrame) -> DataFrame:
+    """``rows`` with their tenant's ``decay_clock`` and their ``now_seq``."""
+    return activity_now(rows, counters).join(settings.select("tenant_id", "decay_clock"), "tenant_id", "left")
+
+
+def rescored(
+    found: DataFrame, memories: DataFrame, now: str, wanted_tags: Sequence[str] = (), limit: int = LIMIT, threshold: float = SCORE_THRESHOLD, settings: DataFrame | None = None, counters: DataFrame | None = None
+) -> DataFrame:
     """Rows ``(id, total, part, place, digest_length)``: returned, over_limit, below_threshold or not_comparable, in rank order.
 
-    ``found`` has at most two channels of limit * 4 rows, so its windows are small whatever the memories.
+    ``found`` has at most two channels of limit * 4 rows, so its windows are small whatever the memories. With ``settings``
+    and ``counters`` decay goes by each tenant's clock, else by the wall clock.
     """
     spark = memories.sparkSession
     now_ms = epoch_micros(spark, F.lit(now).cast("timestamp_ntz")) / 1000.0
     ms = lambda c: epoch_micros(spark, F.col(c)) / 1000.0
     rows = found.join(memories.dropDuplicates(["id"]), "id")
+    if settings is not None and counters is not None:
+        rows = clocked(rows, settings, counters)
     strength = F.col("strength").cast("double")
     half = F.col("half_life_hours").cast("double")
-    base = F.coalesce(ms("last_reinforced_at"), ms("recorded_at"))
-    decay = wall_strength(F.lit(1.0), base, now_ms, half)
-    score = total(affinity(F.col("similarity"), F.col("lexical")), decay, freshness(ms("occurred_at"), now_ms, half), tag_match(F.col("tags"), wanted_tags), strength)
+    score = total(affinity(F.col("similarity"), F.col("lexical")), scoring_decay(rows, now), freshness(ms("occurred_at"), now_ms, half), tag_match(F.col("tags"), wanted_tags), strength)
     rows = rows.select("id", score.alias("total"), F.coalesce("occurred_at", "recorded_at").alias("at"), F.length("digest").alias("digest_length")).withColumn("side", partition(F.col("total"), threshold))
     order = W.partitionBy("side").orderBy(F.isnan("total"), F.desc("total"), F.desc("at"), "id")
     rows = rows.withColumn("place", F.row_number().over(order))

@@ -142,6 +142,25 @@ def decay_values(spark, d):
     return rows.select("id", F.round(decay.wall_strength(s, base, now, h), 9).alias("strength_now"), F.round(decay.floor_offset(s, h), 6).alias("offset_hours"), floor.alias("floor_seq"))
 
 
+_SEQ = "SELECT tenant_id, CASE WHEN kind = 'utterance' THEN subject_id END AS subject_id, count(*) AS seq FROM (SELECT DISTINCT ON (id) * FROM observations) GROUP BY ALL"
+
+
+def counters(spark, d):
+    o = lifecycle.one_each(table(spark, d, "observations"))
+    return outbox.activity(o.select("tenant_id", F.when(F.col("kind") == "utterance", F.col("subject_id")).alias("subject_id")))
+
+
+@query("scoring_decay", f"""WITH c AS ({_SEQ}),
+r AS (SELECT m.*, s.decay_clock, coalesce(t.seq, 0) + coalesce(o.seq, 0) AS now_seq, pow(0.5, ((epoch_us({T})/1000.0 - {_MS}) / 3600000.0) / half_life_hours::DOUBLE) AS wall FROM {MEM} m LEFT JOIN tenant_settings s ON s.tenant_id = m.tenant_id
+ LEFT JOIN c t ON t.tenant_id = m.tenant_id AND t.subject_id IS NULL LEFT JOIN c o ON o.tenant_id = m.tenant_id AND o.subject_id = m.subject_id),
+a AS (SELECT *, pow(0.5, (now_seq - decay_base_seq) / half_life_recalls::DOUBLE) AS act FROM r)
+SELECT id, decay_clock, now_seq::BIGINT AS now_seq, round(CASE WHEN decay_clock = 'activity' THEN coalesce(act, wall) WHEN decay_clock = 'either' THEN greatest(wall, coalesce(act, wall)) ELSE wall END, 9) AS decay,
+ decay_floor_seq IS NULL OR decay_floor_seq > now_seq AS alive FROM a""")
+def scoring_decay(spark, d):
+    rows = recall.clocked(lifecycle.one_each(mem(spark, d)), table(spark, d, "tenant_settings"), counters(spark, d))
+    return rows.select("id", "decay_clock", "now_seq", F.round(recall.scoring_decay(rows, NOW), 9).alias("decay"), decay.alive_on_activity(F.col("decay_floor_seq"), F.col("now_seq")).alias("alive"))
+
+
 @query("validity_classes", f"SELECT coalesce(k, 'valid') AS class, count(*) AS n_rows FROM (SELECT CASE WHEN valid_until <= {T} THEN 'expired' WHEN valid_from > {T} THEN 'not_yet_valid' END AS k FROM {MEM} m) GROUP BY 1")
 def validity_classes(spark, d):
     at = F.lit(NOW).cast("timestamp_ntz")

@@ -5,11 +5,13 @@ import zlib
 from datetime import timedelta
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as e
 from recallgrid.operators import graph, search
 from recallgrid.operators.scope import Scope
+from recallgrid.plans.recall import rescored
 from tests.test_operators import MEMORY, NOW, memory
 
 FOLDER = "/root/testdata/sf0.001"
@@ -118,3 +120,16 @@ def test_numbers_run_on_over_ranges(spark):
     finally:
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
     assert sorted((r.position, int(r.id)) for r in got) == [(i, i) for i in range(5000)]
+
+
+def test_scores_go_by_each_tenants_clock(spark):
+    base = dict(recorded_at=NOW - timedelta(hours=720))
+    rows = [memory("a", tenant_id="act", **base), memory("w", tenant_id="wall", **base), memory("e", tenant_id="either", **base), memory("n", tenant_id="act", **base), memory("o", tenant_id="act", subject_id=None, **base), memory("x", tenant_id="none", **base)]
+    m = spark.createDataFrame(rows, MEMORY).selectExpr("*", "cast(null as timestamp_ntz) as last_reinforced_at", "if(id = 'n', null, 0L) as decay_base_seq", "cast(10 as float) as half_life_recalls")
+    settings = spark.createDataFrame([("act", "activity"), ("wall", "wall"), ("either", "either")], "tenant_id string, decay_clock string")
+    counters = spark.createDataFrame([("act", None, 20), ("act", "s", 10), ("act", "u", 99), ("either", "s", 5), ("wall", None, 50)], "tenant_id string, subject_id string, seq bigint")
+    found = m.selectExpr("id", "1D as similarity", "cast(null as double) as lexical")
+    got = {r.id: r.total for r in rescored(found, m, str(NOW), settings=settings, counters=counters).collect()}
+    want = {"a": 0.5**3, "o": 0.5**2, "n": 0.5, "w": 0.5, "e": 0.5**0.5, "x": 0.5}
+    assert got == {k: pytest.approx(0.5 + 0.5 * v) for k, v in want.items()}
+    assert {r.id: r.total for r in rescored(found, m, str(NOW)).collect()} == {k: pytest.approx(0.75) for k in want}
