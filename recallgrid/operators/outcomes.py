@@ -46,6 +46,13 @@ def margins(rows: DataFrame) -> DataFrame:
     return rows.groupBy("probe").agg((role("gold") - role("distractor")).alias("margin"))
 
 
+def protection(rows: DataFrame) -> DataFrame:
+    """Rows ``(probe, least_protected, most_other, protection_margin)`` of candidates ``(probe, id, protected, score)``; one without an id isn't protected, and a margin needs both sides."""
+    kept = F.col("id").isNotNull() & F.coalesce("protected", F.lit(False))
+    sides = rows.groupBy("probe").agg(F.min(F.when(kept, F.col("score"))).alias("least_protected"), F.max(F.when(~kept, F.col("score"))).alias("most_other"))
+    return sides.withColumn("protection_margin", F.col("least_protected") - F.col("most_other"))
+
+
 def drop_verdict(measured: DataFrame, baseline: DataFrame, times: float, least: int) -> DataFrame:
     """One row: probes whose margin fell by ``times`` the baseline's deviation, and whether there are ``least`` of them; without a deviation never."""
     spread = baseline.agg(F.stddev_samp("margin").alias("deviation"))

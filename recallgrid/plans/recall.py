@@ -99,3 +99,8 @@ def budget_cut(units: DataFrame, characters: int, tokens: int | None = None) ->
 def omissions(scored: DataFrame) -> DataFrame:
     """Counts of what the plan found and didn't return, by kind; all are exact."""
     return scored.where("part <> 'returned'").groupBy(F.col("part").alias("kind")).agg(F.count("*").alias("n_rows"))
+
+
+def near_misses(scored: DataFrame, most: int = NEAR_MISSES) -> DataFrame:
+    """Rows ``(id, total, place)``: the best of those below the threshold."""
+    return scored.where((F.col("part") == "below_threshold") & (F.col("place") <= most)).select("id", "total", "place")

@@ -235,6 +235,11 @@ def recall_omissions(spark, d):
     return recall.omissions(_scored(spark, d))
 
 
+@query("recall_near_misses", _RECALL + "SELECT id, round(total, 9) AS total, place FROM scored WHERE part = 'below_threshold' AND place <= 5")
+def recall_near_misses(spark, d):
+    return recall.near_misses(_scored(spark, d)).withColumn("total", F.round("total", 9))
+
+
 @query("recall_budget", _RECALL + "SELECT id, place, sum(digest_length) OVER (ORDER BY place) <= 400 AND sum(ceil(digest_length / 4.0)) OVER (ORDER BY place) <= 90 AS kept FROM scored WHERE part = 'returned'")
 def recall_budget(spark, d):
     return recall.budget_cut(_scored(spark, d).where("part = 'returned'"), 400, 90)

@@ -105,6 +105,16 @@ def margins(spark, d):
     return evaluation.margin_statistics(outcomes.margins(_roles(spark, d)), F.col("margin"))
 
 
+_CAND = "(SELECT vec_id // 10 AS probe, CASE WHEN vec_id % 7 <> 0 THEN vec_id END AS id, vec_id % 10 < 3 AS protected, (vec_id * 31 % 97) / 97.0::DOUBLE AS score FROM embeddings)"
+
+
+@query("protection_margins", f"SELECT probe, min(score) FILTER (id IS NOT NULL AND protected) AS least_protected, max(score) FILTER (id IS NULL OR NOT protected) AS most_other, min(score) FILTER (id IS NOT NULL AND protected) - max(score) FILTER (id IS NULL OR NOT protected) AS protection_margin FROM {_CAND} c GROUP BY 1")
+def protection_margins(spark, d):
+    v = F.col("vec_id")
+    e = table(spark, d, "embeddings").select(F.floor(v / 10).cast("bigint").alias("probe"), F.when(v % 7 != 0, v).alias("id"), (v % 10 < 3).alias("protected"), ((v * 31 % 97) / 97.0).alias("score"))
+    return outcomes.protection(e)
+
+
 @query("margin_drops", f"WITH b AS (SELECT * FROM {_M} x), m AS (SELECT probe, CASE WHEN probe % 9 = 0 THEN margin - 1 ELSE margin END AS margin FROM b), s AS (SELECT stddev_samp(margin) AS deviation FROM b) SELECT count(*) FILTER (b.margin - m.margin >= 1.5 * deviation) AS n_drops, count(*) FILTER (b.margin - m.margin >= 1.5 * deviation) >= 3 AS red FROM m JOIN b USING (probe), s")
 def margin_drops(spark, d):
     base = outcomes.margins(_roles(spark, d))

@@ -9,9 +9,9 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as e
-from recallgrid.operators import graph, search
+from recallgrid.operators import graph, outcomes, search
 from recallgrid.operators.scope import Scope
-from recallgrid.plans.recall import rescored
+from recallgrid.plans.recall import near_misses, rescored
 from tests.test_operators import MEMORY, NOW, memory
 
 FOLDER = "/root/testdata/sf0.001"
@@ -133,3 +133,14 @@ def test_scores_go_by_each_tenants_clock(spark):
     want = {"a": 0.5**3, "o": 0.5**2, "n": 0.5, "w": 0.5, "e": 0.5**0.5, "x": 0.5}
     assert got == {k: pytest.approx(0.5 + 0.5 * v) for k, v in want.items()}
     assert {r.id: r.total for r in rescored(found, m, str(NOW)).collect()} == {k: pytest.approx(0.75) for k in want}
+
+
+def test_near_misses_are_the_best_five_below(spark):
+    scored = spark.createDataFrame([(f"b{i}", 0.09 - i / 100, "below_threshold", i + 1) for i in range(7)] + [("r", 0.5, "returned", 1), ("n", float("nan"), "not_comparable", 1)], "id string, total double, part string, place int")
+    assert [(r.id, r.place) for r in near_misses(scored).orderBy("place").collect()] == [(f"b{i}", i + 1) for i in range(5)]
+
+
+def test_protection_margins(spark):
+    rows = [("p", "a", True, 0.9), ("p", "b", True, 0.6), ("p", None, True, 0.7), ("p", "c", False, 0.2), ("all", "a", True, 0.5), ("none", "a", False, 0.5)]
+    got = {r.probe: (r.least_protected, r.most_other, r.protection_margin) for r in outcomes.protection(spark.createDataFrame(rows, "probe string, id string, protected boolean, score double")).collect()}
+    assert got == {"p": (0.6, 0.7, pytest.approx(-0.1)), "all": (0.5, None, None), "none": (None, 0.5, None)}
