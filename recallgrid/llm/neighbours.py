@@ -1,15 +1,16 @@
 """The k most similar vectors of every vector (problem 3): randomly rotated one-bit codes.
 
 Vectors are normalised and sent as 16-bit floats. Centroids, fitted on a bounded sample, cut the sphere into cells; groups
-of cells are blocks, the unit of a task. Within its cell a vector's difference from the centroid is rotated at random and
-kept as one bit per dimension with two correction scalars. For a query, inner products are estimated from the packed bits;
-the known error of the estimate gives an upper bound, and only vectors whose bound reaches the query's k-th best so far (or
-the least similarity asked for) are reranked by their exact inner products.
+of cells are blocks. Within its cell a vector's difference from the centre is rotated at random and kept as one bit per
+dimension, 64 to an integer, with two correction scalars. A query's inner products are estimated from the packed bits alone:
+first by counting the bits in which its own code differs, against the number that the angle it needs allows, then by counting
+bits in the planes of the quantised query, with the scalars and a bound of the error. Only what reaches the query's k-th best
+so far (or the least similarity asked for) is reranked by exact inner products.
 
-A query goes only to the blocks that hold one of its ``probes`` nearest cells. A block that the sample shows to be crowded is
-cut into parts by a hash, every one of which gets the block's queries, so all of its vectors are still compared. Of equal
-vectors no more than k + 1, those with the smallest ids, can be anybody's neighbours; the others are left out of the index
-before the shuffle (and of the queries of ``mutual``, where they can't be in a pair).
+A query goes only to the blocks that hold one of its ``probes`` nearest cells, with the list of these. A block with many
+vectors or many queries is divided into parts and slices by a hash, and each part meets each slice, so all of its vectors are
+still compared. Of equal vectors (after the rounding to 16 bits) no more than k + 1, those with the smallest ids, can be
+anybody's neighbours; the others are left out of the index before the shuffle, and stay queries where queries are given.
 
 Defined results: of rows with one id the latest counts; a null, short, zero or not finite vector, or one of another model,
 has no row; equal similarities go by the smaller id; the same id is never its own neighbour; further columns are ignored.
@@ -21,18 +22,24 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, BooleanType, FloatType, IntegerType, StringType, StructField, StructType, TimestampNTZType
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import BinaryType, FloatType, IntegerType, StringType, StructField, StructType, TimestampNTZType
 
 DIMENSIONS = 64
-#: Rows that the centroids are fitted on, chosen by a hash (a tenth more at most); rows of a cell; rows of a block; the most cells and the most blocks.
-SAMPLE, CELL_ROWS, BLOCK_ROWS, MOST_CELLS, MOST_BLOCKS = 40_000, 600, 50_000, 8192, 2048
-#: Standard errors of the estimate that its upper bound allows for.
-ERRORS = 1.5
-#: Queries that are ranked at once, and the most entries of a matrix of estimates.
-PANEL, ESTIMATES = 16_384, 2_000_000
+#: Rows that the centroids are fitted on, chosen by a hash (a tenth more at most); rows of a cell; rows of a block.
+SAMPLE, CELL_ROWS, BLOCK_ROWS = 40_000, 600, 25_000
+#: The most finer cells of a coarse one: with 5,000 coarse cells enough for three thousand million vectors, from where cells grow.
+MOST_FINE = 1024
+#: Vectors and queries of a task, about.
+PART_ROWS, SLICE_ROWS = 50_000, 150_000
+#: Bits of an entry of a query; standard errors that the bound of the estimate allows for; standard deviations that counts of differing bits may be off.
+LEVEL_BITS, ERRORS, FAR = 4, 2.5, 2.8
+#: Rows that go through the centroids at once, and the most entries of a matrix of counts.
+PANEL, ESTIMATES = 16_384, 400_000
 SEED = 20240607
 _HIT = StructType([StructField("a", StringType()), StructField("b", StringType()), StructField("similarity", FloatType())])
 
@@ -42,109 +49,181 @@ def rotation(d: int) -> np.ndarray:
     return (q * np.sign(np.diag(r))).astype(np.float32)
 
 
-def fit_centroids(x: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
-    """Spherical k-means."""
+def fit_centroids(x: np.ndarray, k: int, rounds: int = 8, unit: bool = True) -> np.ndarray:
+    """k-means: spherical for unit vectors, else by Euclidean distance."""
     rng = np.random.default_rng(SEED)
     c = x[rng.choice(len(x), k, replace=False)].copy()
     for _ in range(rounds):
-        near = np.concatenate([(x[i : i + PANEL] @ c.T).argmax(1) for i in range(0, len(x), PANEL)])
+        away = 0 if unit else (c * c).sum(1) / 2
+        near = np.concatenate([(x[i : i + PANEL] @ c.T - away).argmax(1) for i in range(0, len(x), PANEL)])
         order = np.argsort(near, kind="stable")
-        at = np.searchsorted(near[order], np.arange(k))
-        present = np.bincount(near, minlength=k) > 0
+        count = np.bincount(near, minlength=k)
+        at, present = np.cumsum(count) - count, count > 0
         sums = np.zeros_like(c)
         sums[present] = np.add.reduceat(x[order], at[present], axis=0)
-        norm = np.linalg.norm(sums, axis=1, keepdims=True)
-        c = np.where(norm > 1e-6, sums / np.maximum(norm, 1e-6), c).astype(np.float32)
+        size = np.linalg.norm(sums, axis=1, keepdims=True) if unit else count[:, None]
+        c = np.where(size > 1e-6, sums / np.maximum(size, 1e-6), c).astype(np.float32)
     return c
 
 
-class Codes:
-    """One cell's vectors as one-bit codes of their rotated differences from the centroid."""
+class Cells:
+    """The cells of the sphere: coarse centroids, and around each of them the same finer ones; cell i has centre coarse[i // f] + fine[i % f]."""
+
+    def __init__(self, coarse: np.ndarray, fine: np.ndarray):
+        self.coarse, self.fine = coarse, fine
+        self.bias = ((fine * fine).sum(1) + 2 * coarse @ fine.T) / 2
+
+    def __len__(self) -> int:
+        return len(self.coarse) * len(self.fine)
+
+    def centre(self, cell: int) -> np.ndarray:
+        return self.coarse[cell // len(self.fine)] + self.fine[cell % len(self.fine)]
+
+    def nearest(self, x: np.ndarray, probes: int) -> np.ndarray:
+        """The ``probes`` nearest cells of each row, the nearest first; where cells are finer, the square root of the refinement as many more."""
+        f = len(self.fine)
+        to = x @ self.coarse.T
+        p = min(len(self.coarse), probes if f == 1 else probes + 4)
+        near = np.argpartition(-to, p - 1, axis=1)[:, :p] if p < len(self.coarse) else np.tile(np.arange(p), (len(x), 1))
+        score = np.take_along_axis(to, near, 1)
+        if f > 1:
+            score = (score[:, :, None] + (x @ self.fine.T)[:, None, :] - self.bias[near]).reshape(len(x), -1)
+            near = (near[:, :, None] * f + np.arange(f)).reshape(len(x), -1)
+            p = min(near.shape[1], int(np.ceil(probes * np.sqrt(f))))
+            if p < near.shape[1]:
+                best = np.argpartition(-score, p - 1, axis=1)[:, :p]
+                near, score = np.take_along_axis(near, best, 1), np.take_along_axis(score, best, 1)
+        return np.take_along_axis(near, np.argsort(-score, axis=1, kind="stable"), 1)
 
-    def __init__(self, x: np.ndarray, centroid: np.ndarray, turn: np.ndarray):
-        rest = (x - centroid) @ turn
-        self.norm = np.linalg.norm(rest, axis=1)
-        unit = rest / np.maximum(self.norm, 1e-12)[:, None]
+
+class Codes:
+    """One cell's vectors as one-bit codes of their rotated differences from the centre, each packed into 64 bits, with correction scalars."""
+
+    def __init__(self, x: np.ndarray, centre: np.ndarray, turn: np.ndarray):
+        rest = (x - centre) @ turn
+        norm = np.linalg.norm(rest, axis=1)
+        self.least, self.most = float(norm.min()), float(norm.max())
+        self.code = packed(rest > 0)
+        self.ones = np.bitwise_count(self.code).astype(np.float32)
         d = x.shape[1]
-        self.bits, self.signs = np.packbits(rest > 0, axis=1), None
-        share = np.abs(unit).sum(1) / np.sqrt(d)  # inner product of the difference with its own code
-        self.scale = self.norm / np.maximum(share, 1e-6) / np.sqrt(d)
-        self.error = self.norm * np.sqrt(np.maximum(1 - share**2, 0)) / np.maximum(share, 1e-6) / np.sqrt(d - 1)
+        share = np.maximum(np.abs(rest).sum(1) / np.maximum(norm, 1e-12) / np.sqrt(d), 1e-6)  # inner product of the unit difference with its own code
+        self.scale = (norm / share / np.sqrt(d)).astype(np.float32)
+        self.error = (ERRORS * norm * np.sqrt(np.maximum(1 - share**2, 0)) / share / np.sqrt(d - 1) + 1e-3).astype(np.float32)
 
-    def upper_bounds(self, rest: np.ndarray, to_centroid: np.ndarray, along: np.ndarray) -> np.ndarray:
-        """Of the inner products with queries: ``rest`` their rotated differences from the centroid, ``to_centroid`` their inner products with it.
 
-        <x, q> is <centroid, q> + <x - centroid, centroid> + <x - centroid, q - centroid>; the last is estimated from the bits.
-        """
-        if self.signs is None:
-            self.signs = np.unpackbits(self.bits, axis=1, count=rest.shape[1]).astype(np.float32)
-            self.signs *= 2
-            self.signs -= 1
-            self.signs *= self.scale[:, None]
-        bound = rest @ self.signs.T
-        bound += np.multiply.outer(np.linalg.norm(rest, axis=1), (ERRORS * self.error).astype(np.float32))
-        bound += along
-        bound += to_centroid[:, None]
-        return bound
-
-
-def search(x: np.ndarray, cells: np.ndarray, ids: np.ndarray, q: np.ndarray, qids: np.ndarray, centroids: np.ndarray, probes: int, k: int, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query, vector, similarity) of up to ``k`` neighbours of each query among ``x``, in those of their cells that are among its nearest.
-
-    ``ids`` and ``qids`` are ranks of ids in one order, for ties and to leave out a vector's own row.
+def packed(bits: np.ndarray) -> np.ndarray:
+    return np.packbits(bits, axis=1, bitorder="little").view("<u8").ravel()
+
+
+def most_bits() -> np.ndarray:
+    """By the cosine needed, -1 to 1 in steps of 1/500: how many of the 64 bits may differ, ``FAR`` standard deviations above the mean at that angle."""
+    share = np.arccos(np.linspace(-1, 1, 1001)) / np.pi
+    return np.floor(DIMENSIONS * share + FAR * np.sqrt(DIMENSIONS * share * (1 - share)) + 0.5).clip(0, DIMENSIONS).astype(np.uint8)
+
+
+class Queries:
+    """Rotated queries, quantised to ``LEVEL_BITS`` bits an entry; each bit of all entries is one 64-bit plane."""
+
+    def __init__(self, q: np.ndarray, turn: np.ndarray):
+        self.q, self.turned = q, q @ turn
+        self.low = self.turned.min(1)
+        self.step = np.maximum(self.turned.max(1) - self.low, 1e-9) / (2**LEVEL_BITS - 1)
+        level = np.rint((self.turned - self.low[:, None]) / self.step[:, None]).astype(np.uint8)
+        self.planes = [packed(level & (1 << b)) for b in range(LEVEL_BITS)]
+        self.total = self.turned.sum(1)
+
+    def upper_bounds(self, i: np.ndarray, codes: Codes, j: np.ndarray, to_centre: np.ndarray) -> np.ndarray:
+        """Of the inner products of queries ``i`` with vectors ``j`` of a cell: <x, q> = <centre, q> + <x - centre, q>, the last from the bits alone."""
+        code = codes.code[j]
+        counted = np.bitwise_count(code & self.planes[0][i]).astype(np.uint16)
+        for b in range(1, LEVEL_BITS):
+            counted += np.bitwise_count(code & self.planes[b][i]).astype(np.uint16) << b
+        signed = 2 * (self.step[i] * counted + self.low[i] * codes.ones[j]) - self.total[i]
+        return to_centre + codes.scale[j] * signed + codes.error[j]
+
+
+def _true_at(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``np.nonzero`` of a sparse matrix whose rows are multiples of 8 long, eight entries at a time."""
+    words = np.flatnonzero(mask.view(np.uint64))
+    at = np.flatnonzero(mask.reshape(-1, 8)[words])
+    flat = words[at >> 3] * 8 + (at & 7)
+    i = flat // mask.shape[1]
+    return i, flat - i * mask.shape[1]
+
+
+def search(x: np.ndarray, homes: np.ndarray, ids: np.ndarray, q: np.ndarray, qids: np.ndarray, asked: np.ndarray, wanted: np.ndarray, cells: Cells, k: int, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, vector, similarity) of up to ``k`` neighbours of each query among the ``x`` whose cell it wants.
+
+    ``ids`` and ``qids`` are ranks of ids in one order, for ties and to leave out a vector's own row. ``asked`` and ``wanted``
+    are queries and cells side by side, each query's nearest cell first. For every query and cell, the queries' own one-bit code
+    is compared with all codes by counting the bits that differ; what is near enough for the query's k-th best so far gets an
+    estimate from the bit planes with its error bound; what that leaves is reranked exactly.
     """
-    turn = rotation(x.shape[1])
-    order = np.argsort(cells, kind="stable")
-    x, cells, ids = x[order], cells[order], ids[order]
-    starts = {int(c): (int(s), int(s + n)) for c, s, n in zip(*np.unique(cells, return_index=True, return_counts=True))}
-    codes = {c: Codes(x[s:e], centroids[c], turn) for c, (s, e) in starts.items()}
-    along = {c: ((x[s:e] - centroids[c]) @ centroids[c]).astype(np.float32) for c, (s, e) in starts.items()}
-    found_q, found_x, found_s = [], [], []
-    for at in range(0, len(q), PANEL):
-        part, own = q[at : at + PANEL], qids[at : at + PANEL]
-        to = part @ centroids.T
-        p = min(probes, len(centroids))
-        near = np.argpartition(-to, p - 1, axis=1)[:, :p] if p < len(centroids) else np.tile(np.arange(p), (len(part), 1))
-        near = np.take_along_axis(near, np.argsort(-np.take_along_axis(to, near, 1), axis=1), 1)
-        best_s = np.full((len(part), k), least, dtype=np.float32)
-        best_x = np.full((len(part), k), -1, dtype=np.int64)
-        turned, mids = part @ turn, centroids @ turn
-        for r in range(p):
-            by = np.argsort(near[:, r], kind="stable")
-            here, first = np.unique(near[by, r], return_index=True)
-            new_q, new_x, new_s = [], [], []
-            for c, members in zip(here.tolist(), np.split(by, first[1:])):
-                if c not in starts:
+    turn, table = rotation(x.shape[1]), most_bits()
+    order = np.argsort(homes, kind="stable")
+    x, homes, ids = x[order], homes[order], ids[order]
+    starts = {int(c): (int(s), int(s + n)) for c, s, n in zip(*np.unique(homes, return_index=True, return_counts=True))}
+    queries = Queries(q, turn)
+    best_s = np.full((len(q), k), least, dtype=np.float32)
+    best_x = np.full((len(q), k), -1, dtype=np.int64)
+    there = np.isin(wanted, np.fromiter(starts, dtype=wanted.dtype, count=len(starts)))
+    asked, wanted = asked[there], wanted[there]
+    place = np.arange(len(asked)) - np.searchsorted(asked, asked)
+    codes: dict[int, Codes] = {}
+    low = 0
+    while (place >= low).any():
+        high = max(1, 2 * low)
+        now = np.flatnonzero((place >= low) & (place < high))
+        now = now[np.argsort(wanted[now], kind="stable")]
+        here, first = np.unique(wanted[now], return_index=True)
+        new_q, new_x, new_s = [], [], []
+        for c, members in zip(here.tolist(), np.split(asked[now], first[1:])):
+            s, e = starts[c]
+            centre = cells.centre(c)
+            if c not in codes:
+                codes[c] = Codes(x[s:e], centre, turn)
+            own, mid, size = codes[c], centre @ turn, float(centre @ centre)
+            to = q[members] @ centre
+            # A vector at distance r from the centre needs the cosine (a + r^2 / 2) / (r b) between both differences; least over the cell's r.
+            a = best_s[members, -1] - to - (1 - size) / 2
+            b = np.sqrt(np.maximum(1 + size - 2 * to, 1e-9))
+            r = np.clip(np.sqrt(np.maximum(2 * a, 0)), max(own.least, 1e-6), max(own.most, 1e-6))
+            need = (a + r * r / 2) / (r * b) - 0.01
+            can = need <= 1
+            members, to, need = members[can], to[can], need[can]
+            n = -(-(e - s) // 8) * 8
+            code = np.zeros(n, np.uint64)
+            code[: e - s] = own.code
+            step = max(1, ESTIMATES // n)
+            for at in range(0, len(members), step):
+                m = members[at : at + step]
+                bits = table[((np.clip(need[at : at + step], -1, 1) + 1) * 500).astype(np.int64)]
+                differ = np.bitwise_count(packed(queries.turned[m] > mid)[:, None] ^ code)
+                near = differ <= bits[:, None]
+                near[:, e - s :] = False
+                i, j = _true_at(near)
+                if not len(i):
                     continue
-                s, e = starts[c]
-                step = max(1, ESTIMATES // (e - s))
-                for m in (members[i : i + step] for i in range(0, len(members), step)):
-                    bound = codes[c].upper_bounds(turned[m] - mids[c], to[m, c], along[c])
-                    i, j = np.nonzero(bound >= best_s[m, -1][:, None])
-                    if not len(i):
-                        continue
-                    if len(i) * 8 > bound.size:  # most pass: one product of matrices is the quicker rerank
-                        exact = (part[m] @ x[s:e].T)[i, j]
-                    else:
-                        exact = np.einsum("ij,ij->i", part[m[i]], x[s + j])
-                    good = (exact >= best_s[m[i], -1]) & (own[m[i]] != ids[s + j])
-                    i, j, exact = i[good], j[good], exact[good]
-                    if len(i) > 4 * k * len(m):  # no more than k of a query's can stay
-                        top = np.lexsort((ids[s + j], -exact, i))
-                        top = top[np.arange(len(top)) - np.searchsorted(i[top], i[top]) < k]
-                        i, j, exact = i[top], j[top], exact[top]
-                    new_q.append(m[i])
-                    new_x.append(s + j)
-                    new_s.append(exact)
-            if new_q:
-                _merge(best_x, best_s, np.concatenate(new_q), np.concatenate(new_x), np.concatenate(new_s), ids, k)
-        i, j = np.nonzero(best_x >= 0)
-        found_q.append(i + at)
-        found_x.append(order[best_x[i, j]])
-        found_s.append(best_s[i, j])
-    if not found_q:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32)
-    return np.concatenate(found_q), np.concatenate(found_x), np.concatenate(found_s)
+                if len(i) * 32 > near.size:  # most pass: one product of matrices is the quicker rerank
+                    exact = (q[m] @ x[s:e].T)[i, j]
+                else:
+                    good = queries.upper_bounds(m[i], own, j, to[at : at + step][i]) >= best_s[m[i], -1]
+                    i, j = i[good], j[good]
+                    exact = np.einsum("ij,ij->i", q[m[i]], x[s + j])
+                good = (exact >= best_s[m[i], -1]) & (qids[m[i]] != ids[s + j])
+                i, j, exact = i[good], j[good], exact[good]
+                if len(i) > 4 * k * len(m):  # no more than k of a query's can stay
+                    top = np.lexsort((ids[s + j], -exact, i))
+                    top = top[np.arange(len(top)) - np.searchsorted(i[top], i[top]) < k]
+                    i, j, exact = i[top], j[top], exact[top]
+                new_q.append(m[i])
+                new_x.append(s + j)
+                new_s.append(exact)
+        if new_q:
+            _merge(best_x, best_s, np.concatenate(new_q), np.concatenate(new_x), np.concatenate(new_s), ids, k)
+        low = high
+    i, j = np.nonzero(best_x >= 0)
+    return i, order[best_x[i, j]], best_s[i, j]
 
 
 def _merge(best_x, best_s, new_q, new_x, new_s, ids, k) -> None:
@@ -195,12 +274,18 @@ def usable(vectors: DataFrame, model: str, key: str = "memory_id", embedding: st
 
 
 class Index:
-    """Cells and blocks, fitted on at most ``SAMPLE`` vectors; every vector is indexed."""
+    """Cells and blocks, fitted on at most ``SAMPLE`` vectors (a tenth more at most); every vector is indexed.
+
+    Cells go up with the number of vectors: coarse centroids as far as the sample carries them, then ever finer ones around
+    each, fitted on the sample's differences from their centroid. Blocks, the units of a task, are groups of near cells. The
+    sample tells how many vectors and queries a block gets; a block is cut into parts by vectors and slices by queries, and each
+    part meets each slice, so a task's size doesn't depend on the number of vectors. A wrong guess changes sizes, not results.
+    """
 
-    def __init__(self, vectors: DataFrame, model: str):
+    def __init__(self, vectors: DataFrame, model: str, cell_rows: int = CELL_ROWS, block_rows: int = BLOCK_ROWS):
+        n = max(vectors.count(), 1)
         rows = vectors.where((F.col("model") == model) & (F.size("embedding") == DIMENSIONS))
-        n = rows.count()
-        wanted = F.pmod(F.xxhash64("memory_id", "created_at"), F.lit(max(n, 1))) < SAMPLE
+        wanted = F.pmod(F.xxhash64("memory_id", "created_at"), F.lit(n)) < SAMPLE
         sample = rows.where(wanted).select("embedding").limit(SAMPLE + SAMPLE // 10).toArrow()
         x = sample.column("embedding").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float32).reshape(-1, DIMENSIONS)
         x = x[np.isfinite(x).all(1)]
@@ -210,29 +295,61 @@ class Index:
         x = np.unique(x, axis=0)
         if not len(x):
             x = np.eye(1, DIMENSIONS, dtype=np.float32)
-        k = int(min(max(1, n // CELL_ROWS), MOST_CELLS, max(1, len(x) // 8)))
-        self.centroids = fit_centroids(x, k)
-        share = np.bincount((x @ self.centroids.T).argmax(1), minlength=k) / len(x)
-        blocks = int(min(max(1, round(n / BLOCK_ROWS)), MOST_BLOCKS, k))
-        self.block_of = self._group(blocks)
-        rows_of = np.bincount(self.block_of, weights=share, minlength=blocks) * n
-        #: Parts of each block, by the sample; a wrong guess changes the tasks' sizes, not the result.
-        self.parts = np.maximum(1, np.ceil(rows_of / (2 * BLOCK_ROWS))).astype(int)
-
-    def _group(self, blocks: int) -> np.ndarray:
-        """Cells to blocks: a recursive halving along the direction of largest spread, so blocks hold near cells and as many each."""
-        groups = [np.arange(len(self.centroids))]
-        while len(groups) < blocks:
-            big = max(range(len(groups)), key=lambda g: len(groups[g]))
-            g = groups.pop(big)
-            c = self.centroids[g] - self.centroids[g].mean(0)
-            axis = np.linalg.svd(c, full_matrices=False)[2][0]
-            order = np.argsort(c @ axis, kind="stable")
-            groups += [g[order[: len(g) // 2]], g[order[len(g) // 2 :]]]
-        out = np.zeros(len(self.centroids), dtype=np.int32)
-        for b, g in enumerate(groups):
-            out[g] = b
-        return out
+        coarse = fit_centroids(x, int(min(max(1, n // cell_rows), max(1, len(x) // 8))))
+        refine = int(min(max(1, round(n / cell_rows / len(coarse))), MOST_FINE, len(x) // 8 + 1))
+        fine = np.zeros((1, DIMENSIONS), np.float32)
+        if refine > 1:
+            home = np.concatenate([(x[i : i + PANEL] @ coarse.T).argmax(1) for i in range(0, len(x), PANEL)])
+            fine = fit_centroids(x - coarse[home], refine, unit=False)
+        self.cells, self.sample, self.rows = Cells(coarse, fine), x, n
+        home = np.concatenate([self.cells.nearest(x[i : i + PANEL], 1)[:, 0] for i in range(0, len(x), PANEL)])
+        self.share = np.bincount(home, minlength=len(self.cells)) / len(x)
+        self.block_of = self._blocks(int(min(max(1, round(n / block_rows)), len(self.cells))))
+
+    def _blocks(self, blocks: int) -> np.ndarray:
+        """Cells to blocks: the fullest group is halved along its direction of largest spread, so blocks hold near cells and like numbers of vectors.
+
+        A single coarse cell that is still too full is divided among its finer cells.
+        """
+        f, c = len(self.cells.fine), self.cells.coarse
+        load = self.share.reshape(-1, f).sum(1) + 1e-9
+        groups = [(load.sum(), np.arange(len(c)))]
+        full = load.sum() / blocks
+        done: list[np.ndarray] = []
+        while groups:
+            weight, g = groups.pop()
+            if len(g) == 1 or weight <= 1.5 * full:
+                done.append(g)
+                continue
+            away = c[g] - c[g].mean(0)
+            axis = np.linalg.svd(away, full_matrices=False)[2][0]
+            g = g[np.argsort(away @ axis, kind="stable")]
+            half = int(np.clip(np.searchsorted(np.cumsum(load[g]), load[g].sum() / 2), 1, len(g) - 1))
+            groups += [(load[h].sum(), h) for h in (g[:half], g[half:])]
+        out = np.zeros((len(c), f), dtype=np.int32)
+        axis = np.linalg.svd(self.cells.fine, full_matrices=False)[2][0] if f > 1 else None
+        n = 0
+        for g in done:
+            pieces = int(np.clip(round(load[g].sum() / full), 1, f)) if len(g) == 1 else 1
+            if pieces == 1:
+                out[g] = n
+            else:
+                out[g[0], np.argsort(self.cells.fine @ axis, kind="stable")] = n + np.arange(f) * pieces // f
+            n += pieces
+        return out.reshape(-1)
+
+    def layout(self, probes: int, part_rows: int, slice_rows: int, asked: float) -> tuple[np.ndarray, np.ndarray]:
+        """Parts and slices of each block; ``asked`` is the share of the vectors that are queries."""
+        blocks = int(self.block_of.max()) + 1
+        rows = np.bincount(self.block_of, weights=self.share, minlength=blocks) * self.rows
+        reached = np.zeros(blocks)
+        for i in range(0, len(self.sample), PANEL):
+            near = self.block_of[self.cells.nearest(self.sample[i : i + PANEL], probes)]
+            near.sort(axis=1)
+            fresh = np.concatenate([np.ones((len(near), 1), bool), near[:, 1:] != near[:, :-1]], axis=1)
+            reached += np.bincount(near[fresh], minlength=blocks)
+        queries = reached / len(self.sample) * self.rows * asked
+        return np.maximum(1, np.ceil(rows / part_rows)).astype(int), np.maximum(1, np.ceil(queries / slice_rows)).astype(int)
 
 
 def _limited(x: DataFrame, k: int) -> DataFrame:
@@ -241,74 +358,97 @@ def _limited(x: DataFrame, k: int) -> DataFrame:
     return x.withColumn("_rank", rank).where(F.col("_rank") <= k + 1).drop("_rank")
 
 
-def neighbours(index: Index, base: DataFrame, queries: DataFrame | None, k: int, probes: int, least: float = -2.0) -> DataFrame:
+def _repeat(times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each i, times[i] entries: i, and their numbers from 0."""
+    at = np.repeat(np.arange(len(times)), times)
+    return at, np.arange(len(at)) - np.repeat(np.cumsum(times) - times, times)
+
+
+_ROUTED = StructType([StructField("id", StringType()), StructField("vec", BinaryType()), StructField("task", IntegerType()), StructField("home", IntegerType()), StructField("cells", BinaryType())])
+
+
+def neighbours(index: Index, base: DataFrame, queries: DataFrame | None, k: int, probes: int, least: float = -2.0, asked: float = 1.0) -> DataFrame:
     """Rows ``(a, b, similarity)``: the ``k`` nearest ``b`` of every query ``a``, of similarity ``least`` or more.
 
-    ``base`` and ``queries`` have ``(id, vec)``; without ``queries`` every row of ``base`` is one.
+    ``base`` and ``queries`` have ``(id, vec)``; ``asked`` is about the share of the base's number that the queries have. Without
+    ``queries`` the rows that are left of ``base`` after its equal vectors are limited are the queries: all of them that can be
+    in a mutual pair, so ``mutual`` of it is whole; a caller who wants every row's own list gives ``queries``.
     """
-    centroids, block_of, parts = index.centroids, index.block_of, index.parts
-    both = queries is None
+    cells, block_of, both = index.cells, index.block_of, queries is None
+    parts, slices = index.layout(probes, PART_ROWS, SLICE_ROWS, asked)
+    first = np.concatenate([[0], np.cumsum(parts * slices)]).astype(np.int64)
 
     def route(as_base: bool, as_query: bool):
         def run(batches):
             for b in batches:
+                n = b.num_rows
                 x = np.frombuffer(b"".join(b.column(1).to_pylist()), dtype="<f2").reshape(-1, DIMENSIONS).astype(np.float32)
-                to = x @ centroids.T
-                home = to.argmax(1)
-                salt = np.fromiter((crc32(i.encode()) for i in b.column(0).to_pylist()), dtype=np.int64, count=b.num_rows)
-                at, block, part, is_base, is_query = [], [], [], [], []
-                if as_base:
-                    hb = block_of[home]
-                    at.append(np.arange(b.num_rows)), block.append(hb), part.append(salt % parts[hb])
-                    is_base.append(np.ones(b.num_rows, bool)), is_query.append(np.full(b.num_rows, as_query))
+                near = cells.nearest(x, probes if as_query else 1).astype(np.int32)
+                salt = np.fromiter((crc32(i.encode()) for i in b.column(0).to_pylist()), dtype=np.int64, count=n)
+                at, task, home = [], [], []
+                wanted: list[bytes | None] = []
+                hb = block_of[near[:, 0]]
                 if as_query:
-                    p = min(probes, len(centroids))
-                    near = np.argpartition(-to, p - 1, axis=1)[:, :p] if p < len(centroids) else np.tile(np.arange(p), (b.num_rows, 1))
-                    wanted = np.zeros((b.num_rows, len(parts)), bool)
-                    wanted[np.arange(b.num_rows)[:, None], block_of[near]] = True
-                    i, bl = np.nonzero(wanted)
-                    times = parts[bl]
-                    i, bl = np.repeat(i, times), np.repeat(bl, times)
-                    pt = np.concatenate([np.arange(t) for t in times]) if len(times) else np.zeros(0, int)
-                    if as_base:  # the row of the base is the query in its own part
-                        other = ~((bl == block_of[home[i]]) & (pt == salt[i] % parts[bl]))
-                        i, bl, pt = i[other], bl[other], pt[other]
-                    at.append(i), block.append(bl), part.append(pt)
-                    is_base.append(np.zeros(len(i), bool)), is_query.append(np.ones(len(i), bool))
+                    blocks = block_of[near]
+                    order = np.argsort(blocks, axis=1, kind="stable")
+                    sorted_blocks, sorted_cells = np.take_along_axis(blocks, order, 1), np.take_along_axis(near, order, 1)
+                    opens = np.concatenate([np.ones((n, 1), bool), sorted_blocks[:, 1:] != sorted_blocks[:, :-1]], axis=1)
+                    starts = np.flatnonzero(opens)
+                    lengths = np.diff(np.append(starts, opens.size))
+                    who, block = starts // near.shape[1], sorted_blocks.ravel()[starts]
+                    flat = sorted_cells.ravel().tobytes()
+                    lists = [flat[4 * s : 4 * (s + m)] for s, m in zip(starts.tolist(), lengths.tolist())]
+                    i, part = _repeat(parts[block])
+                    own = (salt[who[i]] >> 8) % slices[block[i]]
+                    at.append(who[i]), task.append(first[block[i]] + part * slices[block[i]] + own)
+                    mine = as_base & (block[i] == hb[who[i]]) & (part == salt[who[i]] % parts[block[i]])  # the row of the base, too
+                    home.append(np.where(mine, near[who[i], 0], -1))
+                    wanted += [lists[j] for j in i.tolist()]
+                if as_base:
+                    i, piece = _repeat(slices[hb])
+                    if as_query:
+                        other = piece != (salt[i] >> 8) % slices[hb[i]]
+                        i, piece = i[other], piece[other]
+                    at.append(i), task.append(first[hb[i]] + salt[i] % parts[hb[i]] * slices[hb[i]] + piece), home.append(near[i, 0])
+                    wanted += [None] * len(i)
                 take = pa.array(np.concatenate(at))
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).take(take), b.column(1).take(take), pa.array(np.concatenate(block).astype(np.int32)), pa.array(np.concatenate(part).astype(np.int32)), pa.array(np.concatenate(is_base)), pa.array(np.concatenate(is_query))],
-                    names=["id", "vec", "block", "part", "is_base", "is_query"],
+                    [b.column(0).take(take), b.column(1).take(take), pa.array(np.concatenate(task).astype(np.int32)), pa.array(np.concatenate(home).astype(np.int32)), pa.array(wanted, pa.binary())],
+                    names=["id", "vec", "task", "home", "cells"],
                 )
 
         return run
 
-    routed = StructType([StructField("id", StringType()), StructField("vec", BinaryType()), StructField("block", IntegerType()), StructField("part", IntegerType()), StructField("is_base", BooleanType()), StructField("is_query", BooleanType())])
     base = _limited(base, k)
-    rows = base.mapInArrow(route(True, both), routed)
+    rows = base.mapInArrow(route(True, both), _ROUTED)
     if not both:
-        rows = rows.unionByName(queries.mapInArrow(route(False, True), routed))
-
-    def within(key, table):
-        ids = np.asarray(table.column("id").to_pylist(), dtype=object)
-        x = np.frombuffer(b"".join(table.column("vec").to_pylist()), dtype="<f2").reshape(-1, DIMENSIONS).astype(np.float32)
-        rank = np.empty(len(ids), dtype=np.int64)
-        rank[:] = np.unique(ids, return_inverse=True)[1]
-        b, q = np.flatnonzero(table.column("is_base").to_numpy()), np.flatnonzero(table.column("is_query").to_numpy())
+        rows = rows.unionByName(queries.mapInArrow(route(False, True), _ROUTED))
+
+    def within(batches):
+        """One task's vectors and queries: at most about a part and a slice."""
+        table = pa.Table.from_batches(list(batches), schema=to_arrow_schema(_ROUTED))
+        ids = table.column("id").combine_chunks().dictionary_encode()
+        names = ids.dictionary
+        order = np.empty(len(names), dtype=np.int64)
+        order[pc.array_sort_indices(names).to_numpy()] = np.arange(len(names))
+        rank = order[ids.indices.to_numpy()] if len(names) else np.zeros(0, np.int64)
+        home = table.column("home").to_numpy()
+        lists = table.column("cells").combine_chunks()
+        b, q = np.flatnonzero(home >= 0), np.flatnonzero(~np.asarray(lists.is_null()))
         if not len(b) or not len(q):
-            return _HIT_EMPTY
-        cells = (x[b] @ centroids.T).argmax(1)
-        i, j, s = search(x[b], cells, rank[b], x[q], rank[q], centroids, probes, k, least)
-        return pa.table({"a": pa.array(ids[q[i]], pa.string()), "b": pa.array(ids[b[j]], pa.string()), "similarity": pa.array(s, pa.float32())})
+            return
+        x = np.frombuffer(b"".join(table.column("vec").to_pylist()), dtype="<f2").reshape(-1, DIMENSIONS).astype(np.float32)
+        lengths = pc.binary_length(lists.drop_null()).to_numpy() // 4
+        wanted = np.frombuffer(b"".join(lists.drop_null().to_pylist()), dtype=np.int32)
+        i, j, s = search(x[b], home[b], rank[b], x[q], rank[q], np.repeat(np.arange(len(q)), lengths), wanted, cells, k, least)
+        ids = table.column("id").combine_chunks()
+        yield pa.RecordBatch.from_arrays([ids.take(pa.array(q[i])), ids.take(pa.array(b[j])), pa.array(s, pa.float32())], names=["a", "b", "similarity"])
 
-    hits = rows.groupBy("block", "part").applyInArrow(within, _HIT)
+    hits = rows.repartitionById(int(first[-1]), F.col("task")).mapInArrow(within, _HIT)
     best = F.row_number().over(W.partitionBy("a").orderBy(F.desc("similarity"), "b"))
     return hits.withColumn("_rank", best).where(F.col("_rank") <= k).drop("_rank")
 
 
-_HIT_EMPTY = pa.table({"a": pa.array([], pa.string()), "b": pa.array([], pa.string()), "similarity": pa.array([], pa.float32())})
-
-
 def mutual(pairs: DataFrame) -> DataFrame:
     """Rows ``(a, b, similarity)`` with a < b where each is among the other's neighbours."""
     way = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "similarity")

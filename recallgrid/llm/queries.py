@@ -34,7 +34,7 @@ def p3_neighbours(spark, d):
     """The five nearest of every twentieth memory, against all."""
     vectors = table(spark, d, "memory_vectors")
     base = usable(vectors, MODEL)
-    near = neighbours(Index(vectors, MODEL), base, base.where(twentieth(base["id"])), NEAREST, PROBES_ALL)
+    near = neighbours(Index(vectors, MODEL), base, base.where(twentieth(base["id"])), NEAREST, PROBES_ALL, asked=0.05)
     return near.selectExpr("a AS memory_id", "b AS neighbour_id", "similarity")
 
 
