@@ -7,7 +7,8 @@ first by counting the bits in which its own code differs, against the number tha
 bits in the planes of the quantised query, with the scalars and a bound of the error. Only what reaches the query's k-th best
 so far (or the least similarity asked for) is reranked by exact inner products.
 
-A query goes only to the blocks that hold one of its ``probes`` nearest cells, with the list of these. A block with many
+A query goes only to the blocks that hold one of its ``probes`` nearest cells, with the list of these; where a least
+similarity is asked for, cells that such neighbours hardly reach are left out. A block with many
 vectors or many queries is divided into parts and slices by a hash, and each part meets each slice, so all of its vectors are
 still compared. Of equal vectors (after the rounding to 16 bits) no more than k + 1, those with the smallest ids, can be
 anybody's neighbours; the others are left out of the index before the shuffle, and stay queries where queries are given.
@@ -36,6 +37,8 @@ SAMPLE, CELL_ROWS, BLOCK_ROWS = 40_000, 600, 25_000
 MOST_FINE = 1024
 #: Vectors and queries of a task, about.
 PART_ROWS, SLICE_ROWS = 50_000, 150_000
+#: Standard deviations that a neighbour of the least similarity asked for may lie towards another cell; more where finer cells, which have more others beside them, are used.
+BESIDE, BESIDE_FINE = 1.5, 2.0
 #: Bits of an entry of a query; standard errors that the bound of the estimate allows for; standard deviations that counts of differing bits may be off.
 LEVEL_BITS, ERRORS, FAR = 4, 2.5, 2.8
 #: Rows that go through the centroids at once, and the most entries of a matrix of counts.
@@ -79,8 +82,13 @@ class Cells:
     def centre(self, cell: int) -> np.ndarray:
         return self.coarse[cell // len(self.fine)] + self.fine[cell % len(self.fine)]
 
-    def nearest(self, x: np.ndarray, probes: int) -> np.ndarray:
-        """The ``probes`` nearest cells of each row, the nearest first; where cells are finer, the square root of the refinement as many more."""
+    def nearest(self, x: np.ndarray, probes: int, least: float = -2.0) -> np.ndarray:
+        """The ``probes`` nearest cells of each row, the nearest first; where cells are finer, the square root of the refinement as many more.
+
+        A vector of similarity ``least`` lies off the row in some direction; how far along the line from the nearest centre to
+        another has a standard deviation of sqrt(1 - least^2) |line| / sqrt(dimensions - 1). Cells nearer than the nearest only
+        beyond ``BESIDE`` of these are left out, as -1.
+        """
         f = len(self.fine)
         to = x @ self.coarse.T
         p = min(len(self.coarse), probes if f == 1 else probes + 4)
@@ -93,7 +101,13 @@ class Cells:
             if p < near.shape[1]:
                 best = np.argpartition(-score, p - 1, axis=1)[:, :p]
                 near, score = np.take_along_axis(near, best, 1), np.take_along_axis(score, best, 1)
-        return np.take_along_axis(near, np.argsort(-score, axis=1, kind="stable"), 1)
+        order = np.argsort(-score, axis=1, kind="stable")
+        near, score = np.take_along_axis(near, order, 1), np.take_along_axis(score, order, 1)
+        if least > 0 and near.shape[1] > 1:
+            line = self.coarse[near // f] + self.fine[near % f]
+            line = np.linalg.norm(line - line[:, :1], axis=2)
+            near = np.where(least * (score[:, :1] - score) <= (BESIDE if f == 1 else BESIDE_FINE) * np.sqrt(max(1 - least**2, 0) / (x.shape[1] - 1)) * line, near, -1)
+        return near
 
 
 class Codes:
@@ -338,16 +352,17 @@ class Index:
             n += pieces
         return out.reshape(-1)
 
-    def layout(self, probes: int, part_rows: int, slice_rows: int, asked: float) -> tuple[np.ndarray, np.ndarray]:
+    def layout(self, probes: int, part_rows: int, slice_rows: int, asked: float, least: float = -2.0) -> tuple[np.ndarray, np.ndarray]:
         """Parts and slices of each block; ``asked`` is the share of the vectors that are queries."""
         blocks = int(self.block_of.max()) + 1
         rows = np.bincount(self.block_of, weights=self.share, minlength=blocks) * self.rows
         reached = np.zeros(blocks)
         for i in range(0, len(self.sample), PANEL):
-            near = self.block_of[self.cells.nearest(self.sample[i : i + PANEL], probes)]
+            near = self.cells.nearest(self.sample[i : i + PANEL], probes, least)
+            near = np.where(near < 0, blocks, self.block_of[near])
             near.sort(axis=1)
             fresh = np.concatenate([np.ones((len(near), 1), bool), near[:, 1:] != near[:, :-1]], axis=1)
-            reached += np.bincount(near[fresh], minlength=blocks)
+            reached += np.bincount(near[fresh], minlength=blocks + 1)[:blocks]
         queries = reached / len(self.sample) * self.rows * asked
         return np.maximum(1, np.ceil(rows / part_rows)).astype(int), np.maximum(1, np.ceil(queries / slice_rows)).astype(int)
 
@@ -375,7 +390,7 @@ def neighbours(index: Index, base: DataFrame, queries: DataFrame | None, k: int,
     in a mutual pair, so ``mutual`` of it is whole; a caller who wants every row's own list gives ``queries``.
     """
     cells, block_of, both = index.cells, index.block_of, queries is None
-    parts, slices = index.layout(probes, PART_ROWS, SLICE_ROWS, asked)
+    parts, slices = index.layout(probes, PART_ROWS, SLICE_ROWS, asked, least)
     first = np.concatenate([[0], np.cumsum(parts * slices)]).astype(np.int64)
 
     def route(as_base: bool, as_query: bool):
@@ -383,18 +398,20 @@ def neighbours(index: Index, base: DataFrame, queries: DataFrame | None, k: int,
             for b in batches:
                 n = b.num_rows
                 x = np.frombuffer(b"".join(b.column(1).to_pylist()), dtype="<f2").reshape(-1, DIMENSIONS).astype(np.float32)
-                near = cells.nearest(x, probes if as_query else 1).astype(np.int32)
+                near = cells.nearest(x, probes if as_query else 1, least).astype(np.int32)
                 salt = np.fromiter((crc32(i.encode()) for i in b.column(0).to_pylist()), dtype=np.int64, count=n)
                 at, task, home = [], [], []
                 wanted: list[bytes | None] = []
                 hb = block_of[near[:, 0]]
                 if as_query:
-                    blocks = block_of[near]
+                    blocks = np.where(near < 0, len(parts), block_of[near])
                     order = np.argsort(blocks, axis=1, kind="stable")
                     sorted_blocks, sorted_cells = np.take_along_axis(blocks, order, 1), np.take_along_axis(near, order, 1)
                     opens = np.concatenate([np.ones((n, 1), bool), sorted_blocks[:, 1:] != sorted_blocks[:, :-1]], axis=1)
                     starts = np.flatnonzero(opens)
                     lengths = np.diff(np.append(starts, opens.size))
+                    used = sorted_blocks.ravel()[starts] < len(parts)
+                    starts, lengths = starts[used], lengths[used]
                     who, block = starts // near.shape[1], sorted_blocks.ravel()[starts]
                     flat = sorted_cells.ravel().tobytes()
                     lists = [flat[4 * s : 4 * (s + m)] for s, m in zip(starts.tolist(), lengths.tolist())]

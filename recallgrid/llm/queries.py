@@ -21,7 +21,7 @@ def p2_counts(spark, d):
 
 MODEL, NEAREST, SIMILAR = "memo-embed-2", 5, 0.9
 #: Cells that a query looks into: enough for a recall of 0.99 of the neighbours of similarity 0.9 or more, and of 0.9 of all five.
-PROBES_SIMILAR, PROBES_ALL = 12, 36
+PROBES_SIMILAR, PROBES_ALL = 16, 36
 
 
 def p3_found(spark, d):
