@@ -32,11 +32,13 @@ from pyspark.sql.types import BinaryType, FloatType, IntegerType, StringType, St
 
 DIMENSIONS = 64
 #: Rows that the centroids are fitted on, chosen by a hash (a tenth more at most); rows of a cell; rows of a block.
-SAMPLE, CELL_ROWS, BLOCK_ROWS = 40_000, 600, 25_000
+SAMPLE, CELL_ROWS, BLOCK_ROWS = 40_000, 600, 50_000
+#: Rows of a block at least, where a small table is to use all cores.
+LEAST_BLOCK = 10_000
 #: The most finer cells of a coarse one: with 5,000 coarse cells enough for three thousand million vectors, from where cells grow.
 MOST_FINE = 1024
 #: Vectors and queries of a task, about.
-PART_ROWS, SLICE_ROWS = 50_000, 150_000
+PART_ROWS, SLICE_ROWS = 120_000, 250_000
 #: Standard deviations that a neighbour of the least similarity asked for may lie towards another cell; more where finer cells, which have more others beside them, are used.
 BESIDE, BESIDE_FINE = 1.5, 2.0
 #: Bits of an entry of a query; standard errors that the bound of the estimate allows for; standard deviations that counts of differing bits may be off.
@@ -318,21 +320,24 @@ class Index:
         self.cells, self.sample, self.rows = Cells(coarse, fine), x, n
         home = np.concatenate([self.cells.nearest(x[i : i + PANEL], 1)[:, 0] for i in range(0, len(x), PANEL)])
         self.share = np.bincount(home, minlength=len(self.cells)) / len(x)
-        self.block_of = self._blocks(int(min(max(1, round(n / block_rows)), len(self.cells))))
+        cores = vectors.sparkSession.sparkContext.defaultParallelism
+        blocks = max(1, round(n / block_rows), min(2 * cores, n // LEAST_BLOCK))
+        self.block_of = self._blocks(int(min(blocks, len(self.cells))))
 
     def _blocks(self, blocks: int) -> np.ndarray:
-        """Cells to blocks: the fullest group is halved along its direction of largest spread, so blocks hold near cells and like numbers of vectors.
+        """Cells to blocks of near cells: k-means of the sample again; what is too full is halved along its direction of largest spread.
 
         A single coarse cell that is still too full is divided among its finer cells.
         """
         f, c = len(self.cells.fine), self.cells.coarse
         load = self.share.reshape(-1, f).sum(1) + 1e-9
-        groups = [(load.sum(), np.arange(len(c)))]
         full = load.sum() / blocks
+        near = (c @ fit_centroids(self.sample, min(blocks, len(self.sample)), rounds=12).T).argmax(1)
+        groups = [(load[near == g].sum(), np.flatnonzero(near == g)) for g in np.unique(near)]
         done: list[np.ndarray] = []
         while groups:
             weight, g = groups.pop()
-            if len(g) == 1 or weight <= 1.5 * full:
+            if len(g) == 1 or weight <= 2 * full:
                 done.append(g)
                 continue
             away = c[g] - c[g].mean(0)
