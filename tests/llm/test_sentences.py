@@ -9,13 +9,15 @@ D = "/root/testdata/sf0.01"
 
 @pytest.fixture(scope="module")
 def model(spark):
-    from recallgrid.llm.sentences import learn
+    from recallgrid.llm.sentences import learn, learn_languages
 
-    return learn(spark.read.parquet(f"{D}/documents.parquet"))
+    docs = spark.read.parquet(f"{D}/documents.parquet")
+    languages = learn_languages(docs)
+    return learn(docs, languages), languages
 
 
 def units(text, lang, model):
-    return [text[a:b] for a, b in divide(text, lang, model)]
+    return [text[a:b] for a, b in divide(text, lang, *model)]
 
 
 CASES = [
