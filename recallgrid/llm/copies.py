@@ -4,8 +4,9 @@ Every record is one value (prose) or several named fields. Each distinct raw val
 gets an integer; a record becomes the sorted tuple of its integers, and the compact tuples are grouped. Only the distinct
 values travel as text; records travel as two 64-bit hashes of their raw values, later as tuples of integers.
 
-The integers are dense ranks within hash buckets, so they are the same when a lost task runs again. Values and groups that
-hold any share of the rows are counted before the shuffle and spread by ``lookup_join``.
+The integers are dense ranks within hash buckets, whose number goes up with the rows, so they are the same when a lost task
+runs again. Values and groups that hold any share of the rows are counted before the shuffle and spread by ``lookup_join``. The
+table is read twice, once for the dictionary and once for the records; the tuples are written once and grouped from there.
 
 Defined results: null tenant, id or content means no copy of anything; contents that are empty in canonical form are equal
 to each other; rows with the same id are one record; the smallest id is kept; an empty table has no rows; further columns
@@ -24,9 +25,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from recallgrid.operators.skew import lookup_join
+from recallgrid.session import cut_lineage
 
 NAME_LENGTH = 24
-BUCKETS = 4096
+#: Hash buckets of the dictionary at least, and rows that a bucket stands for beyond that.
+BUCKETS, BUCKET_ROWS = 4096, 20_000
 FIELDS = ArrayType(StructType([StructField("name", StringType()), StructField("value", StringType())]))
 _BREAKS = "\n\r\x85\u2028\u2029"
 _PIECES = re.compile(f"[;|{_BREAKS}]")
@@ -40,7 +43,7 @@ def split_fields(content: str | None) -> list[tuple[str, str]] | None:
     if content.lstrip().startswith("{"):
         try:
             found = json.loads(content)
-        except ValueError:
+        except (ValueError, RecursionError):  # too deep for a list of fields
             found = None
         if isinstance(found, dict):
             return [(k, v if isinstance(v, str) else json.dumps(v, sort_keys=True, ensure_ascii=False)) for k, v in found.items()]
@@ -67,17 +70,18 @@ def encoded(records: DataFrame, content: str = "content", by: str = "tenant_id",
     """Rows ``(by, key, listed, tuple)``: each record's sorted integers; ``listed`` tells lists of named fields from prose."""
     rows = records.where(F.col(by).isNotNull() & F.col(key).isNotNull() & F.col(content).isNotNull())
     rows = rows.select(F.col(by).alias("_by"), F.col(key).alias("_key"), F.col(content).alias("_text"))
+    buckets = max(BUCKETS, records.count() // BUCKET_ROWS)
     maybe = F.col("_text").rlike(r"^\s*\{") | (F.col("_text").rlike(f"[;|{_BREAKS}]") & F.col("_text").rlike("[:=]"))
     rows = rows.withColumn("_fields", _split_fields(F.when(maybe, F.col("_text"))))
     prose = F.array(F.struct(F.lit(None).cast("string").alias("name"), F.col("_text").alias("value")))
     values = rows.select("_by", "_key", F.col("_fields").isNotNull().alias("listed"), F.inline(F.when(F.col("_fields").isNull(), prose).otherwise(F.col("_fields"))))
     values = values.select("_by", "_key", "listed", "name", "value", F.xxhash64("listed", "name", "value").alias("_h1"), F.xxhash64(F.lit(7), "value", "name", "listed").alias("_h2"))
 
-    distinct = values.groupBy("_h1", "_h2").agg(F.first("name").alias("name"), F.first("value").alias("value"), F.first("listed").alias("_listed"), F.count("*").alias("_n"))
-    distinct = distinct.select("_h1", "_h2", "_n", "_listed", canonical(F.col("name")).alias("_name"), canonical(F.col("value")).alias("_value"))
-    distinct = distinct.withColumn("_bucket", F.pmod(F.xxhash64("_listed", "_name", "_value"), F.lit(BUCKETS)))
+    distinct = values.groupBy("_h1", "_h2", "listed", "name", "value").agg(F.count("*").alias("_n"))
+    distinct = distinct.select("_h1", "_h2", "_n", F.col("listed").alias("_listed"), canonical(F.col("name")).alias("_name"), canonical(F.col("value")).alias("_value"))
+    distinct = distinct.withColumn("_bucket", F.pmod(F.xxhash64("_listed", "_name", "_value"), F.lit(buckets)))
     rank = F.dense_rank().over(W.partitionBy("_bucket").orderBy("_listed", "_name", "_value"))
-    dictionary = distinct.select("_h1", "_h2", "_n", (rank.cast("bigint") * BUCKETS + F.col("_bucket")).alias("_code"))
+    dictionary = distinct.select("_h1", "_h2", "_n", (rank.cast("bigint") * buckets + F.col("_bucket")).alias("_code"))
 
     coded = lookup_join(values.select("_by", "_key", "listed", "_h1", "_h2"), dictionary, ["_h1", "_h2"], "_key", "_n")
     single = coded.where("not listed").select("_by", "_key", "listed", F.array("_code").alias("_tuple"))
@@ -92,12 +96,12 @@ def _groups(codes: DataFrame, by: str, key: str) -> DataFrame:
 
 def copies(records: DataFrame, content: str = "content", by: str = "tenant_id", key: str = "id") -> DataFrame:
     """Rows ``(keep_id, copy_id)``: every other record of each group of copies with the kept one."""
-    codes = encoded(records, content, by, key)
+    codes = cut_lineage(encoded(records, content, by, key))
     pairs = lookup_join(codes, _groups(codes, by, key), [by, "listed", "tuple"], key, "_n")
     return pairs.where(F.col(key) != F.col("keep_id")).select("keep_id", F.col(key).alias("copy_id")).distinct()
 
 
 def copy_counts(records: DataFrame, content: str = "content", by: str = "tenant_id", key: str = "id") -> DataFrame:
     """Rows ``(by, keep_id, n_copies)``: one for every distinct content, with the number of records that have it."""
-    codes = encoded(records.dropDuplicates([key]), content, by, key)
+    codes = encoded(records, content, by, key).dropDuplicates([by, key])
     return codes.groupBy(by, "listed", "tuple").agg(F.min(key).alias("keep_id"), F.count("*").alias("n_copies")).select(by, "keep_id", "n_copies")
