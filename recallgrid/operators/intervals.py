@@ -5,7 +5,7 @@ intervals; a period starts where it leaves zero and ends where it returns to zer
 
 A claim may hold any share of all rows. So the running sum is made in two levels: boundaries are summed per claim and
 moment (before the shuffle as well), then per claim and hour, and the hours' running sums are the offsets from which each
-hour goes on. A task has at most one claim's hour (3.6 million distinct milliseconds) or one claim's list of hours.
+hour goes on. Boundaries and edges are used twice, so each is written once to the shared folder. A task has at most one claim's hour (3.6 million distinct milliseconds) or one claim's list of hours.
 
 Defined results: null start or end is unbounded; an interval that ends at or before its start, or has a null key part, is
 ignored; repeated rows change nothing; touching intervals are one period; an empty input has an empty result; further
@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from recallgrid.functions.claim_keys import normal_key_col
 from recallgrid.functions.time import epoch_micros
+from recallgrid.session import cut_lineage
 
 LOW, HIGH, HOUR = -(2**63), 2**63 - 1, 3_600_000_000
 
@@ -36,7 +37,7 @@ def periods_and_gaps(intervals: DataFrame, keys: Sequence[str], start: str, end:
     bounds = bounds.where("_a < _b").dropna(subset=keys)
     turns = bounds.select(*keys, F.inline(F.array(F.struct(F.col("_a").alias("_t"), F.lit(1).cast("bigint").alias("_d")), F.struct(F.col("_b").alias("_t"), F.lit(-1).cast("bigint").alias("_d")))))
     hour = F.expr(f"_t div {HOUR}")
-    turns = turns.withColumn("_h", hour).groupBy(*keys, "_h", "_t").agg(F.sum("_d").alias("_d")).where("_d <> 0")
+    turns = cut_lineage(turns.withColumn("_h", hour).groupBy(*keys, "_h", "_t").agg(F.sum("_d").alias("_d")).where("_d <> 0"))
 
     before = W.partitionBy(*keys).orderBy("_h").rowsBetween(W.unboundedPreceding, -1)
     hours = turns.groupBy(*keys, "_h").agg(F.sum("_d").alias("_s"))
@@ -45,7 +46,7 @@ def periods_and_gaps(intervals: DataFrame, keys: Sequence[str], start: str, end:
     inside = W.partitionBy(*keys, "_h").orderBy("_t")
     active = F.col("_base") + F.sum("_d").over(inside.rowsBetween(W.unboundedPreceding, 0))
     edges = turns.join(hours, [*keys, "_h"]).select(*keys, "_h", "_t", "_d", active.alias("_n"))
-    edges = edges.where((F.col("_n") == 0) | (F.col("_n") == F.col("_d")))  # back to zero, or away from zero
+    edges = cut_lineage(edges.where((F.col("_n") == 0) | (F.col("_n") == F.col("_d"))))  # back to zero, or away from zero
 
     after = W.partitionBy(*keys).orderBy("_h")
     firsts = edges.groupBy(*keys, "_h").agg(F.min("_t").alias("_f"))
