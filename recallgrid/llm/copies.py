@@ -6,7 +6,7 @@ values travel as text; records travel as two 64-bit hashes of their raw values,
 
 The integers are dense ranks within hash buckets, whose number goes up with the rows, so they are the same when a lost task
 runs again. Values and groups that hold any share of the rows are counted before the shuffle and spread by ``lookup_join``. The
-table is read twice, once for the dictionary and once for the records; the tuples are written once and grouped from there.
+table is read twice, once for the dictionary and once for the records; both are written once, and tuples are made from there.
 
 Defined results: null tenant, id or content means no copy of anything; contents that are empty in canonical form are equal
 to each other; rows with the same id are one record; the smallest id is kept; an empty table has no rows; further columns
@@ -83,7 +83,8 @@ def encoded(records: DataFrame, content: str = "content", by: str = "tenant_id",
     rank = F.dense_rank().over(W.partitionBy("_bucket").orderBy("_listed", "_name", "_value"))
     dictionary = distinct.select("_h1", "_h2", "_n", (rank.cast("bigint") * buckets + F.col("_bucket")).alias("_code"))
 
-    coded = lookup_join(values.select("_by", "_key", "listed", "_h1", "_h2"), dictionary, ["_h1", "_h2"], "_key", "_n")
+    dictionary = cut_lineage(dictionary)
+    coded = cut_lineage(lookup_join(values.select("_by", "_key", "listed", "_h1", "_h2"), dictionary, ["_h1", "_h2"], "_key", "_n").select("_by", "_key", "listed", "_code"))
     single = coded.where("not listed").select("_by", "_key", "listed", F.array("_code").alias("_tuple"))
     several = coded.where("listed").groupBy("_by", "_key", "listed").agg(F.array_sort(F.collect_set("_code")).alias("_tuple"))
     return single.unionByName(several).select(F.col("_by").alias(by), F.col("_key").alias(key), "listed", F.col("_tuple").alias("tuple"))
@@ -96,7 +97,7 @@ def _groups(codes: DataFrame, by: str, key: str) -> DataFrame:
 
 def copies(records: DataFrame, content: str = "content", by: str = "tenant_id", key: str = "id") -> DataFrame:
     """Rows ``(keep_id, copy_id)``: every other record of each group of copies with the kept one."""
-    codes = cut_lineage(encoded(records, content, by, key))
+    codes = encoded(records, content, by, key)
     pairs = lookup_join(codes, _groups(codes, by, key), [by, "listed", "tuple"], key, "_n")
     return pairs.where(F.col(key) != F.col("keep_id")).select("keep_id", F.col(key).alias("copy_id")).distinct()
 
