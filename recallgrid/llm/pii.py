@@ -5,8 +5,9 @@ averaged by their distance from the windows' edges, and one Viterbi path is deco
 crosses windows comes out once. An exact check then trims each span to the form of its type. The weights come from
 ``pii_training`` and are read once per worker; the operator is a map without shuffle, but for the duplicates of its result.
 
-Defined results: null and blank texts have no spans; a payload that isn't JSON is one text; keys of objects aren't searched;
-a record exported twice gives its rows once; texts of any length are read whole; further columns are ignored.
+Defined results: null and blank texts have no spans; a payload that isn't JSON is one text, one that is nested too deep for the
+parser is read string by string; keys of objects aren't searched; redacting leaves everything else of a JSON text as it is
+written; a record exported twice gives its rows once; texts of any length are read whole; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,10 +29,14 @@ from recallgrid.session import spread
 TYPES = ["email", "phone", "id_number", "street_address", "person_name"]
 WEIGHTS = str(Path(__file__).with_name("pii_weights.npz"))
 WINDOW, STRIDE = 256, 176
-#: Characters of a batch of windows, with padding.
-PANEL = 160_000
+#: Characters of a batch of windows, with padding; its gates stay in a core's cache.
+PANEL = 40_000
 _WORD = re.compile(r"[^\W_]")
 _EMAIL = re.compile(r"(?:mailto:)?([A-Za-z0-9][\w.+\-]*(?:@|＠|\s?\[at\]\s?|\s?\(at\)\s?)[\w\-]+(?:(?:\.|\s?\[dot\]\s?|\s?\(dot\)\s?)[\w\-]+)+)", re.I)
+#: A string of JSON, what makes it a key, and what is written for one character of its value.
+_LITERAL = re.compile(r'"((?:[^"\\]|\\.)*+)"', re.S)
+_COLON = re.compile(r"[ \t\r\n]*:")
+_WRITTEN = re.compile(r"\\u[dD][89abAB][0-9a-fA-F]{2}\\u[dD][c-fC-F][0-9a-fA-F]{2}|\\u[0-9a-fA-F]{4}|\\.|.", re.S)
 #: What may stand between two parts of one span.
 _JOINTS = {"person_name": (" ", "-", "\u3000"), "street_address": (", ",)}
 #: Words in lower case after a name or address, and titles or words in lower case before a name, aren't part of it.
@@ -172,6 +177,8 @@ def strings_of(payload: str | None) -> list[str]:
         value = json.loads(payload)
     except ValueError:
         return [payload]
+    except RecursionError:
+        return [t for _, _, t in literals(payload)]
     out, rest = [], [value]
     while rest:
         v = rest.pop()
@@ -190,15 +197,38 @@ def _redact_text(text: str, spans: list[tuple[int, int, str]]) -> str:
     return "".join(out) + text[at:]
 
 
-def _redact_json(value, known: dict):
-    if isinstance(value, str):
-        return _redact_text(value, known.get(value, []))
-    if isinstance(value, dict):
-        return {k: _redact_json(v, known) for k, v in value.items()}
-    return [_redact_json(v, known) for v in value] if isinstance(value, list) else value
+def literals(payload: str) -> list[tuple[int, int, str]]:
+    """(start, end, decoded) of a JSON text's string values as they are written, without their quotes; keys aren't among them."""
+    return [(m.start(1), m.end(1), json.loads(m.group(0), strict=False) if "\\" in m.group(1) else m.group(1)) for m in _LITERAL.finditer(payload) if not _COLON.match(payload, m.end())]
 
 
-def pii_spans(records: DataFrame, key: str, text: str, is_json: bool, name: str, weights: str = WEIGHTS) -> DataFrame:
+def redact_json(payload: str, known: dict[str, list[tuple[int, int, str]]]) -> str:
+    """The JSON text with the spans of its string values replaced where they are written."""
+    out, at = [], 0
+    for start, end, decoded in literals(payload):
+        spans = known.get(decoded)
+        if not spans:
+            continue
+        places = range(start, end + 1)
+        if len(decoded) != end - start:  # escapes: where each decoded character is written
+            places = [m.start() for m in _WRITTEN.finditer(payload, start, end)] + [end]
+        for a, b, kind in spans:
+            out += [payload[at : places[a]], f"[{kind.upper()}]"]
+            at = places[b]
+    return "".join(out) + payload[at:]
+
+
+def is_json(payload: str) -> bool:
+    try:
+        json.loads(payload)
+    except ValueError:
+        return False
+    except RecursionError:
+        pass
+    return True
+
+
+def pii_spans(records: DataFrame, key: str, text: str, json_text: bool, name: str, weights: str = WEIGHTS) -> DataFrame:
     """Rows ``(rec_table, rec_id, pii_type, pii_text)`` of one table, each once."""
     schema = StructType([StructField(c, StringType()) for c in ("rec_id", "pii_type", "pii_text")])
 
@@ -207,7 +237,7 @@ def pii_spans(records: DataFrame, key: str, text: str, is_json: bool, name: str,
             keys, values = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             texts, of = [], []
             for i, v in enumerate(values):
-                for t in strings_of(v) if is_json else [v] if v else []:
+                for t in strings_of(v) if json_text else [v] if v else []:
                     texts.append(t)
                     of.append(i)
             rows = [(keys[i], kind, t[a:b]) for i, t, spans in zip(of, texts, find(texts, weights)) for a, b, kind in spans]
@@ -217,26 +247,17 @@ def pii_spans(records: DataFrame, key: str, text: str, is_json: bool, name: str,
     return found.select(F.lit(name).alias("rec_table"), "rec_id", "pii_type", "pii_text")
 
 
-def redacted(records: DataFrame, key: str, text: str, is_json: bool, name: str, weights: str = WEIGHTS) -> DataFrame:
+def redacted(records: DataFrame, key: str, text: str, json_text: bool, name: str, weights: str = WEIGHTS) -> DataFrame:
     """Rows ``(rec_table, rec_id, redacted)``: every record's text with placeholders such as [EMAIL]; null stays null."""
     schema = StructType([StructField(c, StringType()) for c in ("rec_id", "redacted")])
 
     def run(batches):
         for batch in batches:
             values = batch.column(1).to_pylist()
-            texts = list(dict.fromkeys(t for v in values for t in (strings_of(v) if is_json else [v] if v else [])))
+            parsed = [bool(v) and json_text and is_json(v) for v in values]
+            texts = list(dict.fromkeys(t for v, p in zip(values, parsed) for t in ([x for _, _, x in literals(v)] if p else [v] if v else [])))
             known = dict(zip(texts, find(texts, weights)))
-            out: list[str | None] = []
-            for v in values:
-                if not v:
-                    out.append(v)
-                elif not is_json:
-                    out.append(_redact_text(v, known[v]))
-                else:
-                    try:
-                        out.append(json.dumps(_redact_json(json.loads(v), known), ensure_ascii=False))
-                    except ValueError:
-                        out.append(_redact_text(v, known[v]))
+            out = [redact_json(v, known) if p else _redact_text(v, known[v]) if v else v for v, p in zip(values, parsed)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], names=["rec_id", "redacted"])
 
     found = spread(records.select(F.col(key).cast("string"), F.col(text).cast("string"))).mapInArrow(run, schema)

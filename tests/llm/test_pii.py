@@ -67,3 +67,15 @@ def test_tables(spark):
     out = {r.rec_id: r.redacted for r in pii.redacted(obs, "id", "payload", True, "observations").collect()}
     assert json.loads(out["o"]) == {"text": "é reach me at [EMAIL] now", "n": 1, "deep": [{"x": "reach me at [EMAIL] now"}]} and out["q"] is None
     assert pii.pii_spans(df.limit(0), "id", "content", False, "m").count() == 0
+
+
+def test_redacting_leaves_the_rest_of_the_json_as_written(spark):
+    mail = "joao.brennavik@corp.test"
+    raw = '{ "a" :1.50,"t":"\\u00e9\\ud83d\\ude00 mail joao.brennavik@corp.test, \\"now\\"\\n", "t": "reach me at joao.brennavik@corp.test now","joao.brennavik@corp.test":[ "x" ] }'
+    deep = "[" * 60_000 + f'"reach me at {mail} now"' + "]" * 60_000
+    df = spark.createDataFrame([("raw", raw), ("deep", deep), ("number", "1"), ("empty", "")], "id string, payload string")
+    out = {r.rec_id: r.redacted for r in pii.redacted(df, "id", "payload", True, "o").collect()}
+    assert out["raw"] == raw.replace("mail " + mail, "mail [EMAIL]").replace("at " + mail, "at [EMAIL]")
+    assert out["deep"] == deep.replace(mail, "[EMAIL]") and out["number"] == "1" and out["empty"] == ""
+    found = pii.pii_spans(df, "id", "payload", True, "o").collect()
+    assert {(r.rec_id, r.pii_text) for r in found} == {("raw", mail), ("deep", mail)}
