@@ -10,6 +10,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from recallgrid.functions.claim_keys import WHITE
+
 FAILURE_LENGTH = 4096
 _CLUSTER = regex.compile(r"\X")
 
@@ -20,9 +22,9 @@ def _composed(text: pd.Series) -> pd.Series:
 
 
 def content_key(text: Column) -> Column:
-    """The form in which contents are compared: NFC, trimmed. Only texts that aren't ASCII go to Python."""
+    """The form in which contents are compared: NFC, without white space of any kind at its ends. Only texts that aren't ASCII go to Python."""
     plain = text.rlike(r"\A[\x00-\x7f]*\z")
-    return F.trim(F.when(plain, text).otherwise(_composed(F.when(~plain, text))))
+    return F.regexp_replace(F.when(plain, text).otherwise(_composed(F.when(~plain, text))), f"\\A[{WHITE}]+|[{WHITE}]+\\z", "")
 
 
 def cut(text: str | None, units: int) -> str | None:
@@ -60,12 +62,19 @@ def clamped(at: Column, least: str) -> Column:
     return F.when(at.isNotNull(), F.greatest(at, F.lit(least).cast("timestamp_ntz")))
 
 
-def failure_text(text: Column) -> Column:
-    """An error's text with its list of parameters replaced by their number, at most 4,096 characters; a second time changes nothing."""
-    listed = F.regexp_extract(text, r"(?s)params: (?!\d+ values)(.*)", 1)
-    n = F.when(listed == "", 0).otherwise(F.size(F.split(listed, ",")))
-    short = F.when(listed != "", F.concat(F.regexp_replace(text, r"(?s)params: .*", "params: "), n.cast("string"), F.lit(" values"))).otherwise(text)
-    return F.substring(short, 1, FAILURE_LENGTH)
+def failure_text(text: Column, by: str = "recallgrid") -> Column:
+    """An error's text without the values of its statement: what follows the first line that begins ``params: `` gives way to its length.
+
+    At most 4,096 UTF-16 units of whole graphemes, then a note of the whole length; ``by`` names who left it out. A second time
+    changes nothing but for texts that were cut.
+    """
+    at = F.instr(text, "\nparams: ")
+    head, rest = F.substring(text, F.lit(1), at + 8), F.substring(text, at + 9, F.length(text))
+    units = lambda t: (F.length(F.encode(t, "UTF-16BE")) / 2).cast("int").cast("string")
+    done = rest.rlike(rf"\A\(omitted by {by}, \d+ chars\)\z")
+    short = F.when((at > 0) & ~done, F.concat(head, F.lit(f"(omitted by {by}, "), units(rest), F.lit(" chars)"))).otherwise(text)
+    long = F.length(F.encode(short, "UTF-16BE")) > 2 * FAILURE_LENGTH
+    return F.when(long, F.concat(cut_col(F.when(long, short), FAILURE_LENGTH), F.lit(f"… (truncated by {by}, original length "), units(short), F.lit(" chars)"))).otherwise(short)
 
 
 def clean_tags(tags: Column) -> Column:

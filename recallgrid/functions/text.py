@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from recallgrid.functions.cleaning import cut_col
+
 #: Ranges that count as CJK for the token heuristic; fixed values.
 CJK = r"ᄀ-ᇿ⺀-⿟　-〿぀-ヿ㄀-ㄯ㄰-㆏ㆠ-ㆿㇰ-ㇿ㐀-䶿一-鿿ꥠ-꥿가-퟿豈-﫿＀-￯"
 QUERY_WORDS, WORD_LENGTH, QUERY_LENGTH = 32, 64, 600
@@ -16,17 +18,6 @@ def heuristic_tokens(text: Column) -> Column:
     return F.ceil(((F.length(text) - other) * 18 + other * 5) / 20).cast("bigint")
 
 
-def observation_text(payload: Column) -> Column:
-    """The text of an observation's payload: title and content, name and data, text, content or name, else the payload itself."""
-    get = lambda k: F.get_json_object(payload, f"$.{k}")
-    title, content, name, data, text = get("title"), get("content"), get("name"), get("data"), get("text")
-    return (
-        F.when(title.isNotNull() & content.isNotNull(), F.concat_ws("\n", title, content))
-        .when(name.isNotNull() & data.isNotNull(), F.concat_ws("\n", name, data))
-        .otherwise(F.coalesce(text, content, name, payload))
-    )
-
-
 def plain_escapes(json: Column) -> Column:
     """JSON as JavaScript writes it: surrogate pairs that ``get_json_object`` escapes become their character, other escapes by number get small letters."""
     pair = r"\\u[dD][89abAB][0-9a-fA-F]{2}\\u[dD][c-fC-F][0-9a-fA-F]{2}"
@@ -36,7 +27,7 @@ def plain_escapes(json: Column) -> Column:
     return F.when(json.contains("\\u"), F.array_join(plain, "")).otherwise(json)
 
 
-def payload_text(payload: Column) -> Column:
+def observation_text(payload: Column) -> Column:
     """The text of an observation's payload as it goes to extraction: marked title and content, marked name and JSON of data, else text, content, name or the payload itself.
 
     Only true marks; a blank title or empty data doesn't count, nor do values that aren't strings. Parts are two line breaks apart.
@@ -71,19 +62,25 @@ def tokens(text: Column) -> Column:
 
 
 def capped_words(text: Column) -> Column:
-    """A query's distinct words, at most 32 of at most 64 characters, of its first 600 characters."""
-    words = F.filter(F.split(F.lower(query_terms(F.substring(text, 1, QUERY_LENGTH))), r"\s+"), lambda w: (w != "") & (F.length(w) <= WORD_LENGTH))
-    return F.slice(F.array_distinct(words), 1, QUERY_WORDS)
+    """A query's distinct words in first-seen order, at most 32, each cut to 64 characters, of its first 600 UTF-16 units of whole graphemes."""
+    words = F.filter(F.split(F.lower(query_terms(cut_col(text, QUERY_LENGTH))), r"\s+"), lambda w: w != "")
+    return F.slice(F.array_distinct(F.transform(words, lambda w: F.substring(w, 1, WORD_LENGTH))), 1, QUERY_WORDS)
 
 
 def language_mismatch(observed: Column, content: Column) -> Column:
-    """Whether a memory of a CJK observation was written in Latin script: both texts' counts and shares decide."""
-    cjk = F.regexp_count(observed, F.lit(r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsHangul}]"))
-    letters = F.regexp_count(observed, F.lit(r"\p{L}"))
-    none = F.regexp_count(content, F.lit(r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsHangul}`{}<>]")) == 0
-    latin, all_letters = F.regexp_count(content, F.lit(r"\p{IsLatin}")), F.regexp_count(content, F.lit(r"\p{L}"))
-    words = F.regexp_count(content, F.lit(r"\b[a-z]+\b"))
-    return (cjk >= 4) & (cjk * 10 >= letters * 3) & none & (latin >= 20) & (latin * 10 >= all_letters * 9) & (words >= 3)
+    """Whether a memory of a Japanese observation was written in Latin script.
+
+    The observation has at least 4 kana and kanji, 30 % of these and its Latin letters. The content has none of them, nothing
+    that looks like code, and without its links at least 20 Latin letters, 90 % of its letters, and 3 words in lower case.
+    """
+    kana_or_kanji = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}]"
+    n = lambda t, p: F.regexp_count(t, F.lit(p))
+    latin = r"[\p{IsLatin}&&\p{L}]"
+    cjk, other = n(observed, kana_or_kanji), n(observed, latin)
+    prose = F.regexp_replace(content, r"(?i)https?://\S+", " ")
+    code = content.rlike(r"[`{}<>|\\]|&&|=>|(?:^|\s)--[a-z]|(?:^|\s)\.{0,2}/[A-Za-z0-9_.-]+")
+    words = F.size(F.filter(F.split(prose, r"\s+"), lambda w: w.rlike(r"^[a-z]+(?:'[a-z]+)?[.,!?;:]?$")))
+    return (cjk >= 4) & (cjk * 10 >= (cjk + other) * 3) & (n(content, kana_or_kanji) == 0) & ~code & (n(prose, latin) >= 20) & (n(prose, latin) * 10 >= n(prose, r"\p{L}") * 9) & (words >= 3)
 
 
 def space_name(provider: Column, model: Column, dimensions: Column, most: int = 63) -> Column:

@@ -42,13 +42,28 @@ def foreign_references(memories: DataFrame, observations: DataFrame) -> DataFram
     return reduce(DataFrame.unionByName, links).where("tenant_id <> other_tenant").select("kind", "id", "other_id")
 
 
-def basis_lost(memories: DataFrame) -> DataFrame:
-    """Superseded or contested memories whose other side is missing or forgotten: rows ``(id, reason)``."""
-    rows = memories.dropDuplicates(["id"])
-    target = rows.select(F.col("id").alias("other"), F.col("status").alias("other_status"), F.lit(True).alias("there"))
-    links = rows.select("id", F.lower(F.coalesce("superseded_by_id", "contested_with_id")).alias("other")).where("other is not null")
-    reason = F.when(F.col("there").isNull(), "missing").when(F.col("other_status") == "forgotten", "forgotten")
-    return links.join(target, "other", "left").select("id", reason.alias("reason")).where("reason is not null")
+def stated_basis(memories: DataFrame) -> DataFrame:
+    """Rows ``(id, basis_id)`` of the inferred memories: the memories that their provenance lists, else the stated ones of their source observation."""
+    rows = one_each_with_lower(memories)
+    listed = F.from_json(F.get_json_object("provenance", "$.basis.memoryIds"), "array<string>")
+    inferred = rows.where("provenance_kind = 'inferred'").select("id", "tenant_id", "source", listed.alias("listed"))
+    named = inferred.where("listed is not null").select("id", F.explode("listed").alias("b")).select("id", F.lower("b").alias("basis_id"))
+    stated = rows.where("provenance_kind = 'stated' and source is not null").select("tenant_id", "source", F.col("id").alias("basis_id"))
+    return named.unionByName(inferred.where("listed is null").join(stated, ["tenant_id", "source"]).select("id", "basis_id"))
+
+
+def one_each_with_lower(memories: DataFrame) -> DataFrame:
+    return memories.dropDuplicates(["id"]).withColumn("source", F.lower("source_observation_id"))
+
+
+def basis_lost(memories: DataFrame, basis: DataFrame) -> DataFrame:
+    """Rows ``(id, n_basis, n_lost)`` of the memories that have lost a basis: it is missing, forgotten or purged. ``basis`` has ``(id, basis_id)``.
+
+    Archived and superseded memories keep their text, so they don't count as lost; a memory without a basis has no row.
+    """
+    target = memories.dropDuplicates(["id"]).select(F.col("id").alias("basis_id"), ((F.col("status") == "forgotten") | F.col("purged_at").isNotNull()).alias("gone"))
+    lost = F.count_if(F.coalesce("gone", F.lit(True)))
+    return basis.distinct().join(target, "basis_id", "left").groupBy("id").agg(F.count("*").alias("n_basis"), lost.alias("n_lost")).where("n_lost > 0")
 
 
 def one_sided_pairs(memories: DataFrame) -> DataFrame:

@@ -75,25 +75,46 @@ def replayed_status(events: DataFrame) -> DataFrame:
 
 
 def consolidated(memories: DataFrame, group: Column, least: int = 2) -> DataFrame:
-    """One row a group of at least ``least`` memories: common subject, tags, validity all share, last event, attributes all agree on."""
+    """One row a group of at least ``least`` memories: common subject, tags in first-seen order, validity all share, last event, attributes all agree on.
+
+    Sources are seen by recorded time and id. Tags and attributes are counted per group and value first, so that a buffer has a
+    group's distinct tags and not its rows. ``attributes`` is a sorted list of ``name=value``.
+    """
     rows = one_each(memories).withColumn("_g", group).where("_g is not null")
     sizes = rows.groupBy("_g").agg(
         F.count("*").alias("n_sources"),
-        F.when(F.count_distinct(F.coalesce("subject_id", F.lit("\0"))) == 1, F.max("subject_id")).alias("subject_id"),
+        F.when((F.count("subject_id") == F.count("*")) & (F.min("subject_id") == F.max("subject_id")), F.max("subject_id")).alias("subject_id"),
         F.max("occurred_at").alias("occurred_at"),
         F.max("valid_from").alias("valid_from"),
         F.min("valid_until").alias("valid_until"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_set("tags")))).alias("tags"),
     )
+    seen = rows.select("_g", "recorded_at", "id", F.posexplode("tags").alias("at", "tag")).groupBy("_g", "tag").agg(F.min(F.struct("recorded_at", "id", "at")).alias("first"))
+    tags = seen.groupBy("_g").agg(F.transform(F.array_sort(F.collect_list(F.struct("first", "tag"))), lambda x: x["tag"]).alias("tags"))
     shared = rows.select("_g", F.explode("attributes").alias("k", "v")).groupBy("_g", "k", "v").agg(F.count("*").alias("n"))
-    shared = shared.join(sizes.select("_g", "n_sources"), "_g").where("n = n_sources").groupBy("_g").agg(F.count("*").alias("n_attributes"))
-    return sizes.where(F.col("n_sources") >= least).join(shared, "_g", "left").select(F.col("_g").alias("group_key"), "n_sources", "subject_id", "occurred_at", "valid_from", "valid_until", "tags", F.coalesce("n_attributes", F.lit(0)).alias("n_attributes"))
+    shared = shared.join(sizes.select("_g", "n_sources"), "_g").where("n = n_sources").groupBy("_g").agg(F.array_sort(F.collect_list(F.concat("k", F.lit("="), "v"))).alias("attributes"))
+    out = sizes.where(F.col("n_sources") >= least).join(tags, "_g", "left").join(shared, "_g", "left")
+    none = F.array().cast("array<string>")
+    return out.select(F.col("_g").alias("group_key"), "n_sources", "subject_id", "occurred_at", "valid_from", "valid_until", F.coalesce("tags", none).alias("tags"), F.coalesce("attributes", none).alias("attributes"))
+
+
+def places(rows: DataFrame, by: list[str], at: str, order: list[str]) -> DataFrame:
+    """``rows`` with ``place``: their numbers from 0 within ``by``, by the time ``at`` and then ``order``.
+
+    A group may hold any share of the rows, so it is numbered in two levels: hours are counted, the counts' running sums are
+    the offsets, and rows are numbered within their hour. A null time comes first.
+    """
+    hour = F.coalesce(F.date_trunc("hour", at).cast("timestamp_ntz"), F.lit("0001-01-01").cast("timestamp_ntz"))
+    rows = rows.withColumn("_hour", hour)
+    counts = rows.groupBy(*by, "_hour").agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(W.partitionBy(*by).orderBy("_hour").rowsBetween(W.unboundedPreceding, -1))
+    counts = counts.select(*by, "_hour", F.coalesce(before, F.lit(0)).alias("_before"))
+    own = F.row_number().over(W.partitionBy(*by, "_hour").orderBy(at, *order))
+    return rows.withColumn("_own", own).join(counts, [*by, "_hour"]).withColumn("place", F.col("_before") + F.col("_own") - 1).drop("_hour", "_own", "_before")
 
 
 def chunks(rows: DataFrame, by: str, order: str, size: int) -> DataFrame:
-    """Rows ``(id, chunk)`` of fixed-size groups within ``by``; a last chunk of one row is left out."""
-    place = F.row_number().over(W.partitionBy(by).orderBy(order, "id"))
-    out = rows.select("id", by, F.floor((place - 1) / size).alias("chunk"))
+    """Rows ``(id, chunk)`` of fixed-size groups within ``by``; a last chunk of one row is left out. ``by`` isn't null."""
+    out = places(rows, [by], order, ["id"]).select("id", by, F.floor(F.col("place") / size).alias("chunk"))
     return out.withColumn("n", F.count("*").over(W.partitionBy(by, "chunk"))).where("n > 1").select("id", by, "chunk")
 
 

@@ -8,6 +8,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from recallgrid.functions.cleaning import cut_col
+
 LIVE = ("active", "contested")
 
 
@@ -116,15 +118,18 @@ def label_groups(memories: DataFrame, scope: Scope, labels: Sequence[str]) -> Da
     return rows.select(F.explode_outer("has").alias("label")).groupBy("label").agg(F.count("*").alias("n_rows"))
 
 
-def digest_band(memories: DataFrame, scope: Scope, limit: int = 50, characters: int = 4000, entry: int = 120, overhead: int = 64) -> DataFrame:
-    """The newest digests that fit: in order of effective time and id, until the first that doesn't fit, each cut to ``entry``.
+def digest_band(memories: DataFrame, scope: Scope, limit: int = 50, characters: int = 4000, entry: int = 120, overhead: int = 64, returned: DataFrame | None = None) -> DataFrame:
+    """The newest digests that fit: in order of effective time and id, until the first that doesn't fit, each cut to ``entry`` at a grapheme's end.
 
-    A top-k by limit, then a window over at most ``limit`` rows.
+    What a recall has ``returned`` already, rows with ``id``, isn't repeated. A top-k by limit, then a window over at most
+    ``limit`` rows; sizes are UTF-16 units.
     """
     from pyspark.sql import Window as W
 
-    rows = memories.where(scope.filter()).select("id", effective_time().alias("at"), F.substring("digest", 1, entry).alias("digest")).dropDuplicates(["id"])
-    rows = rows.orderBy(F.desc("at"), F.desc("id")).limit(limit)
+    rows = memories.where(scope.filter()).select("id", effective_time().alias("at"), "digest").dropDuplicates(["id"])
+    if returned is not None:
+        rows = rows.join(returned.select("id").distinct(), "id", "left_anti")
+    rows = rows.orderBy(F.desc("at"), F.desc("id")).limit(limit).withColumn("digest", cut_col(F.col("digest"), entry))
     order = W.orderBy(F.desc("at"), F.desc("id"))
-    sized = rows.withColumn("used", F.sum(F.length("digest") + overhead).over(order.rowsBetween(W.unboundedPreceding, 0))).withColumn("place", F.row_number().over(order))
+    sized = rows.withColumn("used", F.sum((F.length(F.encode("digest", "UTF-16BE")) / 2).cast("bigint") + overhead).over(order.rowsBetween(W.unboundedPreceding, 0))).withColumn("place", F.row_number().over(order))
     return sized.where(F.col("used") <= characters).select("id", "place", F.col("used").cast("bigint").alias("used"))

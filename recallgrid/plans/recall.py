@@ -56,7 +56,8 @@ def rescored(
     spark = memories.sparkSession
     now_ms = epoch_micros(spark, F.lit(now).cast("timestamp_ntz")) / 1000.0
     ms = lambda c: epoch_micros(spark, F.col(c)) / 1000.0
-    rows = found.join(memories.dropDuplicates(["id"]), "id")
+    # The join with the few found ids comes first, so that the memories aren't shuffled for their duplicates.
+    rows = memories.join(F.broadcast(found.select("id", "similarity", "lexical")), "id").dropDuplicates(["id"])
     if settings is not None and counters is not None:
         rows = clocked(rows, settings, counters)
     strength = F.col("strength").cast("double")
@@ -76,15 +77,23 @@ def companions(returned: DataFrame, memories: DataFrame) -> DataFrame:
     return returned.select("id").join(sides, "id").join(back, ["id", "other"], "left_semi").select("id", F.col("other").alias("companion_id"))
 
 
-def associated(returned: DataFrame, memories: DataFrame, vectors: DataFrame, scope: Scope, anchors: int = 3, least: float = 0.5, most: int = 10) -> DataFrame:
-    """Rows ``(id, anchor_id, anchor_similarity, place)``: neighbours of the best returned, each with the first anchor that reaches it."""
+def associated(returned: DataFrame, memories: DataFrame, vectors: DataFrame, scope: Scope, now: str, anchors: int = 3, least: float = 0.5, most: int = 10, wanted_tags: Sequence[str] = ()) -> DataFrame:
+    """Rows ``(id, anchor_id, anchor_similarity, rank_key, place)``: neighbours of the best returned, each with the first anchor that reaches it.
+
+    They rank by the similarity to the anchor times the score without relevance: decay, freshness, tags and strength. Anchors,
+    and what they find, are at most ``anchors`` times ``most`` * 4 rows, so the windows are small whatever the memories.
+    """
     top = returned.where((F.col("part") == "returned") & (F.col("place") <= anchors)).select("id", "place")
     queries = top.join(vectors.select(F.col("memory_id").alias("id"), "embedding"), "id").select(F.col("id").alias("key"), F.col("place").alias("position"), F.col("embedding").alias("query"))
     near = vector_search_many(memories, vectors, queries, scope, most * OVER_FETCH).where((~F.isnan("distance")) & (1 - F.col("distance") >= least))
     near = near.join(F.broadcast(top.select(F.col("id").alias("key"), F.col("place").alias("anchor_place"))), "key").join(returned.where("part = 'returned'").select("id"), "id", "left_anti")
-    first = near.withColumn("n", F.row_number().over(W.partitionBy("id").orderBy("anchor_place"))).where("n = 1")
-    rank = F.row_number().over(W.orderBy("distance", "id"))  # at most anchors * most * 4 rows
-    return first.withColumn("rank", rank).where(F.col("rank") <= most).select("id", F.col("key").alias("anchor_id"), (1 - F.col("distance")).alias("anchor_similarity"), F.col("rank").alias("place"))
+    first = near.withColumn("n", F.row_number().over(W.partitionBy("id").orderBy("anchor_place"))).where("n = 1").select("id", "key", "distance")
+    nothing = F.lit(None).cast("double")
+    own = rescored(first.select("id", nothing.alias("similarity"), nothing.alias("lexical")), memories.where(scope.tenant_filter()), now, wanted_tags, limit=most, threshold=float("-inf")).select("id", "total")
+    similarity = 1 - F.col("distance")
+    keyed = first.join(own, "id").select("id", F.col("key").alias("anchor_id"), similarity.alias("anchor_similarity"), (similarity * F.col("total")).alias("rank_key"))
+    rank = F.row_number().over(W.orderBy(F.desc("rank_key"), "id"))
+    return keyed.withColumn("place", rank).where(F.col("place") <= most)
 
 
 def budget_cut(units: DataFrame, characters: int, tokens: int | None = None) -> DataFrame:

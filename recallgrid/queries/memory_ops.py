@@ -119,11 +119,12 @@ def claim_predicates(spark, d):
     return rows.groupBy(F.col("claim_key_predicate").alias("predicate")).agg(F.max("created_at").alias("newest")).orderBy(F.desc("newest"), "predicate").limit(20)
 
 
-@query("digest_band", f"""WITH r AS (SELECT id, {EFF} AS eff, substr(digest,1,120) AS dg FROM {MEM} m WHERE {INSIDE} ORDER BY eff DESC, id DESC LIMIT 50),
+@query("digest_band", f"""WITH o AS (SELECT id FROM {MEM} m WHERE {INSIDE} ORDER BY {EFF} DESC, id LIMIT 10), r AS (SELECT id, {EFF} AS eff, substr(digest,1,120) AS dg FROM {MEM} m WHERE {INSIDE} AND id NOT IN (SELECT id FROM o) ORDER BY eff DESC, id DESC LIMIT 50),
 c AS (SELECT id, row_number() OVER w AS place, sum(length(dg)+64) OVER w AS used FROM r WINDOW w AS (ORDER BY eff DESC, id DESC))
 SELECT id, place, used::BIGINT AS used FROM c WHERE used <= 4000""")
 def digest_band(spark, d):
-    return scope.digest_band(mem(spark, d), SCOPE)
+    returned = lifecycle.one_each(mem(spark, d).where(SCOPE.filter())).orderBy(F.desc(scope.effective_time()), "id").limit(10)
+    return scope.digest_band(mem(spark, d), SCOPE, returned=returned)
 
 
 _MS = "epoch_us(coalesce(last_reinforced_at, recorded_at)) / 1000.0"
@@ -177,17 +178,8 @@ def vector_search(spark, d):
     return search.vector_search(mem(spark, d), vec(spark, d), QUERY, LIVE, 40).withColumn("distance", F.round("distance", 9))
 
 
-@query("vector_search_many", f"""WITH s AS (SELECT id, recorded_at FROM {MEM} m WHERE {LIVE_SQL}), q AS (SELECT memory_id AS key, embedding AS q FROM {VEC} v WHERE tenant_id = '{TENANT}' AND len(embedding) = 64 ORDER BY memory_id LIMIT 5),
-d AS (SELECT key, id, recorded_at, {_distance('embedding', 'q')} AS distance FROM s JOIN {VEC} v ON v.memory_id = s.id AND v.tenant_id = '{TENANT}', q)
-SELECT key, place, id, round(distance, 9) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY isnan(distance), distance, recorded_at DESC, id) AS place FROM d) WHERE place <= 10""")
+@query("vector_search_many")
 def vector_search_many(spark, d):
-    own = vec(spark, d)
-    queries = own.where((F.col("tenant_id") == TENANT) & (F.size("embedding") == 64)).orderBy("memory_id").limit(5).select(F.col("memory_id").alias("key"), F.lit(0).alias("position"), F.col("embedding").alias("query"))
-    return search.vector_search_many(mem(spark, d), own, queries, LIVE, 10).withColumn("distance", F.round("distance", 9))
-
-
-@query("vector_search_many_whole")
-def vector_search_many_whole(spark, d):
     """Every twentieth of the tenant's ids by CRC-32, against all its rows in scope."""
     own = vec(spark, d)
     asked = own.where((F.col("tenant_id") == TENANT) & (F.size("embedding") == 64) & (F.crc32("memory_id") % 20 == 0))
@@ -245,10 +237,18 @@ def recall_budget(spark, d):
     return recall.budget_cut(_scored(spark, d).where("part = 'returned'"), 400, 90)
 
 
-@query("recall_associated")
+@query("recall_associated", _RECALL + f""",
+top AS (SELECT id AS key, place AS anchor_place, embedding AS q FROM scored JOIN {VEC} v ON v.memory_id = scored.id AND v.tenant_id = '{TENANT}' WHERE part = 'returned' AND place <= 3),
+pairs AS (SELECT key, anchor_place, s.id, recorded_at, {_distance('embedding', 'q')} AS distance FROM s JOIN {VEC} v ON v.memory_id = s.id AND v.tenant_id = '{TENANT}', top),
+near2 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY isnan(distance), distance, recorded_at DESC, id) AS n FROM pairs) WHERE n <= 40 AND NOT isnan(distance) AND 1 - distance >= 0.3 AND id NOT IN (SELECT id FROM scored WHERE part = 'returned')),
+first AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY anchor_place) AS m FROM near2) WHERE m = 1),
+own AS (SELECT id, (0.5 + 0.5 * pow(0.5, ((epoch_us({T})/1000.0 - {_MS}) / 3600000.0) / half_life_hours::DOUBLE)
+  * CASE WHEN occurred_at IS NULL THEN 1 ELSE least(1, pow(0.5, ((epoch_us({T}) - epoch_us(occurred_at)) / 3600000000.0) / half_life_hours::DOUBLE)) END) * strength::DOUBLE AS total FROM {MEM} m),
+ranked AS (SELECT id, key AS anchor_id, 1 - distance AS anchor_similarity, (1 - distance) * total AS rank_key, row_number() OVER (ORDER BY (1 - distance) * total DESC, id) AS place FROM first JOIN own USING (id))
+SELECT id, anchor_id, round(anchor_similarity, 9) AS anchor_similarity, round(rank_key, 9) AS rank_key, place FROM ranked WHERE place <= 10""")
 def recall_associated(spark, d):
-    memories = mem(spark, d)
-    return recall.associated(_scored(spark, d), memories, vec(spark, d), LIVE, least=0.3)
+    found = recall.associated(_scored(spark, d), mem(spark, d), vec(spark, d), LIVE, NOW, least=0.3)
+    return found.withColumns({"anchor_similarity": F.round("anchor_similarity", 9), "rank_key": F.round("rank_key", 9)})
 
 
 @query("contested_companions", f"""WITH s AS (SELECT DISTINCT id, lower(contested_with_id) AS other FROM {MEM} m WHERE contested_with_id IS NOT NULL)
@@ -277,10 +277,11 @@ def foreign_references(spark, d):
     return audit.foreign_references(mem(spark, d), table(spark, d, "observations"))
 
 
-@query("basis_lost", f"""SELECT a.id, CASE WHEN b.id IS NULL THEN 'missing' ELSE 'forgotten' END AS reason FROM {MEM} a LEFT JOIN {MEM} b ON b.id = lower(coalesce(a.superseded_by_id, a.contested_with_id))
-WHERE coalesce(a.superseded_by_id, a.contested_with_id) IS NOT NULL AND (b.id IS NULL OR b.status = 'forgotten')""")
+@query("basis_lost", f"""WITH b AS (SELECT a.id, c.status, c.purged_at FROM {MEM} a JOIN {MEM} c ON c.tenant_id = a.tenant_id AND lower(c.source_observation_id) = lower(a.source_observation_id) AND c.provenance_kind = 'stated' WHERE a.provenance_kind = 'inferred')
+SELECT id, count(*) AS n_basis, count(*) FILTER (status = 'forgotten' OR purged_at IS NOT NULL) AS n_lost FROM b GROUP BY 1 HAVING count(*) FILTER (status = 'forgotten' OR purged_at IS NOT NULL) > 0""")
 def basis_lost(spark, d):
-    return audit.basis_lost(mem(spark, d))
+    m = mem(spark, d)
+    return audit.basis_lost(m, audit.stated_basis(m))
 
 
 @query("claim_conflicts", f"""WITH r AS (SELECT tenant_id, subject_id, claim_key_subject, claim_key_predicate, id, coalesce(epoch_us(valid_from), -4611686018427387904) AS a, coalesce(epoch_us(valid_until), 4611686018427387904) AS b FROM {MEM} m WHERE status IN ('active','contested'))
@@ -313,7 +314,12 @@ def event_log(spark, d):
     return lifecycle.one_each(e).orderBy("event_at", "seq").limit(100).select("id", "kind", "event_at", "seq")
 
 
-@query("replayed_status")
+_STEP = "CASE " + " ".join(f"WHEN state = '{a}' AND kind = '{k}' THEN '{b}'" for a, k, b in lifecycle.TRANSITIONS) + " ELSE state END"
+
+
+@query("replayed_status", f"""WITH RECURSIVE e AS (SELECT lower(memory_id) AS memory_id, kind, row_number() OVER (PARTITION BY lower(memory_id) ORDER BY event_at, seq, kind) AS n FROM (SELECT DISTINCT ON (id) * FROM memory_events) WHERE memory_id IS NOT NULL),
+w AS (SELECT DISTINCT memory_id, 'active' AS state, 0::BIGINT AS n FROM e UNION ALL SELECT memory_id, {_STEP} AS state, e.n FROM w JOIN e USING (memory_id) WHERE e.n = w.n + 1)
+SELECT memory_id, arg_max(state, n) AS status, max(n) AS n_events FROM w GROUP BY 1""")
 def replayed_status(spark, d):
     return lifecycle.replayed_status(table(spark, d, "memory_events"))
 
@@ -335,10 +341,13 @@ def purged_tombstones(spark, d):
 
 
 @query("consolidated", f"""WITH r AS (SELECT *, tenant_id || '/' || claim_key_predicate AS g FROM {MEM} m WHERE claim_key_predicate IS NOT NULL),
-s AS (SELECT g, count(*) AS n, CASE WHEN count(DISTINCT coalesce(subject_id, chr(0))) = 1 THEN max(subject_id) END AS subject_id, max(occurred_at) AS occurred_at, max(valid_from) AS valid_from, min(valid_until) AS valid_until, list_sort(list_distinct(flatten(list(tags)))) AS tags FROM r GROUP BY 1),
+s AS (SELECT g, count(*) AS n, CASE WHEN count(DISTINCT coalesce(subject_id, chr(0))) = 1 THEN max(subject_id) END AS subject_id, max(occurred_at) AS occurred_at, max(valid_from) AS valid_from, min(valid_until) AS valid_until FROM r GROUP BY 1),
+u AS (SELECT g, recorded_at, id, unnest(tags) AS tag, generate_subscripts(tags, 1) AS pos FROM r),
+f AS (SELECT g, tag, row_number() OVER (PARTITION BY g, tag ORDER BY recorded_at, id, pos) AS k, recorded_at, id, pos FROM u),
+t AS (SELECT g, list(tag ORDER BY recorded_at, id, pos) AS tags FROM f WHERE k = 1 GROUP BY 1),
 a AS (SELECT g, e.key AS k, e.value AS v, count(*) AS n FROM (SELECT g, unnest(map_entries(attributes)) AS e FROM r) GROUP BY ALL),
-c AS (SELECT a.g, count(*) AS n FROM a JOIN s ON s.g = a.g AND s.n = a.n GROUP BY 1)
-SELECT s.g AS group_key, s.n AS n_sources, subject_id, occurred_at, valid_from, valid_until, tags, coalesce(c.n, 0) AS n_attributes FROM s LEFT JOIN c USING (g) WHERE s.n >= 2""")
+c AS (SELECT a.g, list_sort(list(k || '=' || v)) AS attributes FROM a JOIN s ON s.g = a.g AND s.n = a.n GROUP BY 1)
+SELECT s.g AS group_key, s.n AS n_sources, subject_id, occurred_at, valid_from, valid_until, coalesce(tags, []) AS tags, coalesce(attributes, []) AS attributes FROM s LEFT JOIN t USING (g) LEFT JOIN c USING (g) WHERE s.n >= 2""")
 def consolidated(spark, d):
     return lifecycle.consolidated(mem(spark, d), F.concat("tenant_id", F.lit("/"), "claim_key_predicate"))
 
@@ -370,7 +379,11 @@ def superseded_roots(spark, d):
     return graph.roots(lifecycle.one_each(mem(spark, d)).where("superseded_by_id is not null").select("id", F.lower("superseded_by_id").alias("parent_id")))
 
 
-@query("contested_reach")
+@query("contested_reach", f"""WITH RECURSIVE m AS (SELECT id, lower(contested_with_id) AS other, status FROM {MEM} x WHERE contested_with_id IS NOT NULL),
+e AS (SELECT id AS from_id, other AS to_id FROM m UNION SELECT other, id FROM m), k AS (SELECT from_id, to_id FROM e WHERE to_id IN (SELECT id FROM m WHERE status = 'contested')),
+w AS (SELECT id AS owner_id, id, 0 AS level FROM m UNION SELECT w.owner_id, k.to_id AS id, w.level + 1 FROM w JOIN k ON k.from_id = w.id WHERE w.level < 12),
+b AS (SELECT owner_id, id, min(level) AS level FROM w GROUP BY 1, 2)
+SELECT owner_id, id, level FROM (SELECT *, row_number() OVER (PARTITION BY owner_id ORDER BY level, id) AS n FROM b WHERE level > 0) WHERE n <= 10""")
 def contested_reach(spark, d):
     m = lifecycle.one_each(mem(spark, d)).where("contested_with_id is not null")
     edges = m.select(F.col("id").alias("from_id"), F.lower("contested_with_id").alias("to_id"))
@@ -379,20 +392,9 @@ def contested_reach(spark, d):
 
 
 @query("related_lists", """WITH e AS (SELECT id AS from_id, lower(contested_with_id) AS to_id FROM memories WHERE contested_with_id IS NOT NULL UNION SELECT lower(contested_with_id), id FROM memories WHERE contested_with_id IS NOT NULL),
-i AS (SELECT row_number() OVER (ORDER BY id) - 1 AS position, id FROM (SELECT DISTINCT id FROM memories ORDER BY id LIMIT 300))
-SELECT position::BIGINT AS position, i.id, coalesce(list_sort(list(DISTINCT to_id) FILTER (to_id IS NOT NULL)), []) AS related FROM i LEFT JOIN e ON e.from_id = i.id GROUP BY ALL""")
-def related_lists(spark, d):
-    m = mem(spark, d)
-    e = m.where("contested_with_id is not null").select(F.col("id").alias("from_id"), F.lower("contested_with_id").alias("to_id"))
-    both = e.unionByName(e.select(F.col("to_id").alias("from_id"), F.col("from_id").alias("to_id")))
-    ids = m.select("id").distinct().orderBy("id").limit(300).agg(F.array_sort(F.collect_list("id")).alias("a")).select(F.posexplode("a").alias("position", "id")).withColumn("position", F.col("position").cast("bigint"))
-    return graph.adjacency(ids, both)
-
-
-@query("related_lists_whole", """WITH e AS (SELECT id AS from_id, lower(contested_with_id) AS to_id FROM memories WHERE contested_with_id IS NOT NULL UNION SELECT lower(contested_with_id), id FROM memories WHERE contested_with_id IS NOT NULL),
 i AS (SELECT row_number() OVER (ORDER BY id) - 1 AS position, id FROM (SELECT DISTINCT id FROM memories WHERE id IS NOT NULL))
 SELECT position::BIGINT AS position, i.id, coalesce(list_sort(list(DISTINCT to_id) FILTER (to_id IS NOT NULL)), []) AS related FROM i LEFT JOIN e ON e.from_id = i.id GROUP BY ALL""")
-def related_lists_whole(spark, d):
+def related_lists(spark, d):
     m = mem(spark, d)
     e = m.where("contested_with_id is not null").select(F.col("id").alias("from_id"), F.lower("contested_with_id").alias("to_id"))
     both = e.unionByName(e.select(F.col("to_id").alias("from_id"), F.col("from_id").alias("to_id")))
@@ -442,18 +444,6 @@ def ingest_once(spark, d):
     return o.groupBy("tenant_id", "record_key").agg(F.min("recorded_at").alias("first_at"), F.count_distinct("id").alias("deliveries"))
 
 
-_OT = """CASE WHEN json_extract_string(payload,'$.title') IS NOT NULL AND json_extract_string(payload,'$.content') IS NOT NULL THEN concat_ws(chr(10), json_extract_string(payload,'$.title'), json_extract_string(payload,'$.content'))
- WHEN json_extract_string(payload,'$.name') IS NOT NULL AND json_extract(payload,'$.data') IS NOT NULL THEN 'name and data'
- ELSE coalesce(json_extract_string(payload,'$.text'), json_extract_string(payload,'$.content'), json_extract_string(payload,'$.name'), payload) END"""
-
-
-@query("observation_text", f"SELECT id, {_OT} AS said FROM (SELECT DISTINCT ON (id) * FROM observations)")
-def observation_text(spark, d):
-    o = lifecycle.one_each(table(spark, d, "observations"))
-    named = F.get_json_object("payload", "$.name").isNotNull() & F.get_json_object("payload", "$.data").isNotNull() & F.get_json_object("payload", "$.title").isNull()
-    return o.select("id", F.when(named, "name and data").otherwise(text.observation_text(F.col("payload"))).alias("said"))
-
-
 def _said(k: str) -> str:
     return f"CASE WHEN json_type(payload,'$.{k}') = 'VARCHAR' THEN nullif(json_extract_string(payload,'$.{k}'), '') END"
 
@@ -464,9 +454,9 @@ _OTW = f"""CASE WHEN json_type(payload,'$.extractTitle') = 'BOOLEAN' AND json_ex
  ELSE coalesce({_said('text')}, {_said('content')}, {_said('name')}, payload, 'null') END"""
 
 
-@query("observation_text_whole", f"SELECT id, {_OTW} AS said FROM (SELECT DISTINCT ON (id) * FROM observations)")
-def observation_text_whole(spark, d):
-    return lifecycle.one_each(table(spark, d, "observations")).select("id", text.payload_text(F.col("payload")).alias("said"))
+@query("observation_text", f"SELECT id, {_OTW} AS said FROM (SELECT DISTINCT ON (id) * FROM observations)")
+def observation_text(spark, d):
+    return lifecycle.one_each(table(spark, d, "observations")).select("id", text.observation_text(F.col("payload")).alias("said"))
 
 
 @query("heuristic_tokens", "SELECT doc_id, ((length(text) - o) * 18 + o * 5 + 19) // 20 AS n FROM (SELECT doc_id, text, length(regexp_replace(text, '[" + text.CJK + "]', '', 'g')) AS o FROM documents)")
@@ -479,16 +469,11 @@ def token_counts(spark, d):
     return lifecycle.one_each(mem(spark, d)).select("id", F.size(text.tokens(F.col("content"))).alias("n_tokens"))
 
 
-@query("query_words", f"SELECT id, list_filter(regexp_split_to_array(trim(lower(regexp_replace(substr(content, 1, 600), '[^\\x00-\\x7f]+', ' ', 'g'))), '\\s+'), lambda w: w <> '' AND length(w) <= 64)[1:1] AS w FROM {MEM} m")
-def query_words(spark, d):
-    return lifecycle.one_each(mem(spark, d)).select("id", F.slice(text.capped_words(F.col("content")), 1, 1).alias("w"))
-
-
-_WORDS = "list_filter(regexp_split_to_array(trim(lower(regexp_replace(substr(content, 1, 600), '[^\\x00-\\x7f]+', ' ', 'g'))), '\\s+'), lambda w: w <> '' AND length(w) <= 64)"
+_WORDS = "list_transform(list_filter(regexp_split_to_array(lower(regexp_replace(substr(content, 1, 600), '[^\\x00-\\x7f]+', ' ', 'g')), '\\s+'), lambda w: w <> ''), lambda w: substr(w, 1, 64))"
 
 
-@query("query_words_whole", f"SELECT id, list_filter(a, lambda w, i: list_position(a, w) = i)[1:32] AS w FROM (SELECT id, {_WORDS} AS a FROM {MEM} m)")
-def query_words_whole(spark, d):
+@query("query_words", f"SELECT id, list_filter(a, lambda w, i: list_position(a, w) = i)[1:32] AS w FROM (SELECT id, {_WORDS} AS a FROM {MEM} m)")
+def query_words(spark, d):
     return lifecycle.one_each(mem(spark, d)).select("id", text.capped_words(F.col("content")).alias("w"))
 
 
@@ -498,26 +483,28 @@ def content_hashes(spark, d):
     return lifecycle.one_each(mem(spark, d)).select("id", h.alias("h"), F.coalesce(F.lower("content_hash") == h, F.lit(False)).alias("same"))
 
 
-@query("language_mismatch")
+_CJK_SQL = "[\\p{Han}\\p{Hiragana}\\p{Katakana}]"
+_N = lambda t, p: f"len(regexp_extract_all({t}, '{p}'))"
+_CODE_SQL = "[`{}<>|\\\\]|&&|=>|(?:^|\\s)--[a-z]|(?:^|\\s)\\.{0,2}/[A-Za-z0-9_.-]+"
+_LOWER_SQL = "^[a-z]+(?:''[a-z]+)?[.,!?;:]?$"
+
+
+@query("language_mismatch", f"""WITH o AS (SELECT id AS source, {_OTW} AS said FROM (SELECT DISTINCT ON (id) * FROM observations)), j AS (SELECT m.id, source, said, content, regexp_replace(content, 'https?://\\S+', ' ', 'gi') AS prose FROM {MEM} m JOIN o ON o.source = lower(m.source_observation_id))
+SELECT id, source FROM j WHERE {_N('said', _CJK_SQL)} >= 4 AND {_N('said', _CJK_SQL)} * 10 >= ({_N('said', _CJK_SQL)} + {_N('said', '\\p{Latin}')}) * 3 AND NOT regexp_matches(content, '{_CJK_SQL}') AND NOT regexp_matches(content, '{_CODE_SQL}')
+ AND {_N('prose', '\\p{Latin}')} >= 20 AND {_N('prose', '\\p{Latin}')} * 10 >= {_N('prose', '\\p{L}')} * 9 AND len(list_filter(regexp_split_to_array(prose, '\\s+'), lambda w: regexp_matches(w, '{_LOWER_SQL}'))) >= 3""")
 def language_mismatch(spark, d):
     o = lifecycle.one_each(table(spark, d, "observations")).select(F.col("id").alias("source"), text.observation_text(F.col("payload")).alias("said"))
     m = lifecycle.one_each(mem(spark, d)).select("id", "content", F.lower("source_observation_id").alias("source"))
     return m.join(o, "source").where(text.language_mismatch(F.col("said"), F.col("content"))).select("id", "source")
 
 
-@query("space_names")
+@query("space_names", "SELECT DISTINCT model, regexp_replace(lower('provider_' || model || '_64'), '[^a-z0-9]+', '_', 'g') AS name FROM memory_vectors")
 def space_names(spark, d):
     return table(spark, d, "memory_vectors").select("model").distinct().select("model", text.space_name(F.lit("provider"), F.col("model"), F.lit(64)).alias("name"))
 
 
-@query("deterministic_embedding", f"SELECT id, list_transform(range(0, 8), lambda i: list_sum([0] || [ascii(content[j + 1]) FOR j IN range(0, length(content)) IF j % 8 = i])::BIGINT % 997) AS v FROM {MEM} m WHERE regexp_full_match(content, '[ -~]+')")
+@query("deterministic_embedding")
 def deterministic_embedding(spark, d):
-    rows = lifecycle.one_each(mem(spark, d).where(F.col("content").rlike(r"\A[ -~]+\z")))
-    return rows.select("id", F.transform(vectors.deterministic_embedding(F.col("content")), lambda x: x.cast("bigint")).alias("v"))
-
-
-@query("deterministic_embedding_whole")
-def deterministic_embedding_whole(spark, d):
     return lifecycle.one_each(mem(spark, d)).select("id", vectors.deterministic_embedding(F.col("content")).alias("v"))
 
 
@@ -568,15 +555,12 @@ def noisy_ranks(spark, d):
     return evaluation.noisy_ranks(e, 0.05, 7)
 
 
-@query("list_difference", """WITH a AS (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS position, vec_id AS id FROM embeddings WHERE label < 5), b AS (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS position, vec_id AS id FROM embeddings WHERE label < 6 AND vec_id % 11 <> 3),
+@query("list_difference", """WITH a AS (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS position, vec_id AS id FROM embeddings), b AS (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS position, vec_id AS id FROM embeddings WHERE vec_id % 11 <> 3),
 j AS (SELECT position, a.id IS DISTINCT FROM b.id AS differs FROM a FULL JOIN b USING (position))
 SELECT count(*) FILTER (differs) AS n_different, coalesce(min(position) FILTER (differs), count(*)) AS prefix, (SELECT count(*) FROM a WHERE id NOT IN (SELECT id FROM b)) AS only_a, (SELECT count(*) FROM b WHERE id NOT IN (SELECT id FROM a)) AS only_b FROM j""")
 def list_difference(spark, d):
-    from pyspark.sql import Window as W
-
-    e = table(spark, d, "embeddings")
-    ranked = lambda x: x.select((F.row_number().over(W.orderBy("vec_id")) - 1).cast("bigint").alias("position"), F.col("vec_id").alias("id"))
-    return evaluation.list_difference(ranked(e.where("label < 5")), ranked(e.where("label < 6 and vec_id % 11 <> 3")))
+    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"))
+    return evaluation.list_difference(graph.numbered(e), graph.numbered(e.where("id % 11 <> 3")))
 
 
 round_both(Q, S, {"lexical_search": ["coverage"], "retrieval_quality": ["mrr", "mrr_control", "mrr_other"], "detection_quality": ["precision", "recall", "f1"], "margin_statistics": ["mean", "deviation", "least", "most"]})

@@ -28,7 +28,7 @@ def mem(spark, d):
     return lifecycle.one_each(table(spark, d, "memories"))
 
 
-@query("content_keys", f"SELECT id, trim(nfc_normalize(content), ' ') AS k FROM {MEM} m")
+@query("content_keys", f"SELECT id, regexp_replace(nfc_normalize(content), '^[\\s\\x0B\\p{{Z}}\\x{{FEFF}}]+|[\\s\\x0B\\p{{Z}}\\x{{FEFF}}]+$', '', 'g') AS k FROM {MEM} m")
 def content_keys(spark, d):
     return mem(spark, d).select("id", cleaning.content_key(F.col("content")).alias("k"))
 
@@ -38,16 +38,23 @@ def cut_digests(spark, d):
     return mem(spark, d).select("id", cleaning.cut_col(F.col("digest"), 24).alias("cut"))
 
 
-@query("stored_values", f"""SELECT id, half_life_recalls IS NOT NULL AND half_life_recalls::FLOAT <> 0 AND isfinite(half_life_recalls::FLOAT) AS fits, CASE WHEN valid_from IS NOT NULL THEN greatest(valid_from, TIMESTAMP '2020-01-01') END AS valid_from,
+@query("stored_values", f"""SELECT id, half_life_recalls IS NOT NULL AND half_life_recalls::FLOAT <> 0 AND isfinite(half_life_recalls::FLOAT) AS fits, CASE WHEN valid_from IS NOT NULL THEN greatest(valid_from, TIMESTAMP '2018-01-15') END AS valid_from,
  list_filter(tags, lambda t: NOT contains(t, chr(0))) AS tags FROM {MEM} m""")
 def stored_values(spark, d):
-    return mem(spark, d).select("id", cleaning.fits_float(F.col("half_life_recalls")).alias("fits"), cleaning.clamped(F.col("valid_from"), "2020-01-01").alias("valid_from"), cleaning.clean_tags(F.col("tags")).alias("tags"))
+    return mem(spark, d).select("id", cleaning.fits_float(F.col("half_life_recalls")).alias("fits"), cleaning.clamped(F.col("valid_from"), "2018-01-15").alias("valid_from"), cleaning.clean_tags(F.col("tags")).alias("tags"))
 
 
-@query("failure_texts", "SELECT event_id, 'failed at ' || event_type || ' params: ' || (1 + (event_id % 3)) || ' values' AS said FROM events")
+_FAIL = "CASE WHEN n % 3 = 0 THEN 'boom' WHEN n % 3 = 1 THEN 'Failed query: select params: 1' || chr(10) || 'params: ' || payload ELSE 'see params: ' || coalesce(payload, '') END"
+
+
+@query("failure_texts", f"""WITH r AS (SELECT id, payload, ascii(substr(id, 1, 1)) AS n FROM (SELECT DISTINCT ON (id) * FROM observations)), f AS (SELECT id, {_FAIL} AS said FROM r)
+SELECT id, CASE WHEN contains(said, chr(10) || 'params: ') THEN substr(said, 1, instr(said, chr(10) || 'params: ') + 8) || '(omitted by recallgrid, ' || (length(said) - instr(said, chr(10) || 'params: ') - 8 + len(list_filter(string_split(said, ''), lambda c: unicode(c) > 65535))) || ' chars)' ELSE said END AS said FROM f""")
 def failure_texts(spark, d):
-    raw = F.concat(F.lit("failed at "), F.col("event_type"), F.lit(" params: "), F.expr("array_join(array_repeat('x', cast(1 + event_id % 3 as int)), ',')"))
-    return table(spark, d, "events").select("event_id", cleaning.failure_text(cleaning.failure_text(raw)).alias("said"))
+    n = F.ascii("id") % 3
+    o = lifecycle.one_each(table(spark, d, "observations"))
+    raw = F.when(n == 0, "boom").when(n == 1, F.concat(F.lit("Failed query: select params: 1\nparams: "), "payload")).otherwise(F.concat(F.lit("see params: "), F.coalesce("payload", F.lit(""))))
+    once = o.select("id", raw.alias("raw")).select("id", cleaning.failure_text(F.col("raw")).alias("once"))
+    return once.select("id", cleaning.failure_text(F.col("once")).alias("said"))
 
 
 @query("registered_labels", f"""WITH r AS (SELECT tenant_id, t AS label FROM (SELECT tenant_id, unnest(tags) AS t FROM {MEM} m) GROUP BY ALL HAVING count(*) >= 5)

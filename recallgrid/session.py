@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 
 from pyspark.sql import SparkSession
 
-_LOCAL_CHECKPOINTS = os.path.join(tempfile.gettempdir(), "recallgrid-checkpoints")
-
-
 def local_session(cores: int | str = "*", app: str = "recallgrid", **conf: str) -> SparkSession:
     """A session for one machine (tests, benchmarks); clusters bring their own session."""
     b = (
@@ -18,6 +17,7 @@ def local_session(cores: int | str = "*", app: str = "recallgrid", **conf: str)
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.sql.adaptive.enabled", "true")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", os.environ.get("RECALLGRID_DRIVER_MEMORY", "8g"))
@@ -30,16 +30,22 @@ def local_session(cores: int | str = "*", app: str = "recallgrid", **conf: str)
     return spark
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The folder all executors share, as the session names it.
+def ensure_checkpoint_dir(spark: SparkSession) -> None:
+    """Checks that checkpoints go to the folder all executors share, which the session names in ``spark.checkpoint.dir``.
 
-    ``spark.checkpoint.dir`` wins. Only where it is unset (a single machine, tests) a local folder is used.
+    Only a master that is this one process may leave it unset; it gets a folder that goes when the process ends. On a cluster
+    that is an error. Files of checkpoints go with their DataFrame under ``spark.cleaner.referenceTracking.cleanCheckpoints``.
     """
-    shared = spark.conf.get("spark.checkpoint.dir", None)
     sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(shared or _LOCAL_CHECKPOINTS)
-    return shared or _LOCAL_CHECKPOINTS
+    if not sc._jsc.sc().getCheckpointDir().isEmpty():
+        return
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if shared is None:
+        if sc.master != "local" and not sc.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        shared = tempfile.mkdtemp(prefix="recallgrid-checkpoints-")
+        atexit.register(shutil.rmtree, shared, ignore_errors=True)
+    sc.setCheckpointDir(shared)
 
 
 def cut_lineage(df):

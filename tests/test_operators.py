@@ -116,3 +116,66 @@ def test_statistics():
     assert evaluation.sign_test(0, 0) == 1 and evaluation.sign_test(8, 0) == pytest.approx(2 / 2**8)
     assert evaluation.at_least(3, 2, 0.5) == pytest.approx(0.5)
     assert evaluation.clopper_pearson_upper(0, 10) == pytest.approx(0.30849710781876083) and evaluation.clopper_pearson_upper(10, 10) == 1
+
+
+def test_roots_of_cycles_and_long_chains(spark):
+    rows = [("a", "b"), ("b", "a"), ("c", "d"), ("d", "e"), ("e", "c"), ("in", "c"), ("self", "self"), ("to_self", "self")] + [(f"n{i:03}", f"n{i + 1:03}") for i in range(200)]
+    got = {r.id: (r.root_id, r.depth) for r in graph.roots(spark.createDataFrame(rows, "id string, parent_id string")).collect()}
+    assert len(got) == len(rows) and all(got[i] == (None, None) for i in ("a", "b", "c", "d", "e", "in"))
+    assert got["self"] == ("self", 1) and got["to_self"] == ("self", 1) and all(got[f"n{i:03}"] == ("n200", 200 - i) for i in range(200))
+    assert graph.roots(spark.createDataFrame([], "id string, parent_id string")).count() == 0
+
+
+def test_reachable_against_brute_force(spark):
+    import random
+
+    r = random.Random(5)
+    nodes = [f"v{i:02}" for i in range(40)]
+    pairs = {(r.choice(nodes), r.choice(nodes)) for _ in range(60)} | {("v00", n) for n in nodes[1:30]}  # a hub
+    both = {(a, b) for a, b in pairs if a != b} | {(b, a) for a, b in pairs if a != b}
+    kept = set(nodes) - {"v07", "v11"}
+    want = {}
+    for s in nodes:
+        seen, front, level, out = {s}, [s], 0, []
+        while front:
+            level += 1
+            front = sorted({b for a, b in both if a in front and b in kept} - seen)
+            seen |= set(front)
+            out += [(level, b) for b in front]
+        want[s] = sorted(out)[:3]
+    df = lambda rows, schema: spark.createDataFrame(rows, schema)
+    got = {}
+    for x in graph.reachable(df([(n,) for n in nodes], "id string"), df(sorted(both), "from_id string, to_id string"), df([(n,) for n in sorted(kept)], "id string"), 3).collect():
+        got.setdefault(x.owner_id, []).append((x.level, x.id))
+    assert {k: sorted(v) for k, v in got.items()} == {k: v for k, v in want.items() if v}
+
+
+def test_basis_lost(spark):
+    link = lambda *ids: '{"kind": "inferred", "basis": {"memoryIds": [' + ", ".join(f'"{i}"' for i in ids) + "]}}"
+    rows = [memory("gone", status="forgotten"), memory("purged"), memory("old", status="superseded"), memory("ok", source_observation_id="O", provenance_kind="stated")]
+    rows += [memory("i1", provenance_kind="inferred", provenance=link("GONE", "ok")), memory("i2", provenance_kind="inferred", provenance=link("old", "ok")), memory("i3", provenance_kind="inferred", provenance=link("never")), memory("i4", provenance_kind="inferred", provenance=link("purged")), memory("i5", provenance_kind="inferred", source_observation_id="o")]
+    df = spark.createDataFrame(rows, MEMORY).selectExpr("*", "if(id = 'purged', timestamp_ntz'2018-01-01', null) as purged_at")
+    got = {r.id: (r.n_basis, r.n_lost) for r in audit.basis_lost(df, audit.stated_basis(df)).collect()}
+    assert got == {"i1": (2, 1), "i3": (1, 1), "i4": (1, 1)}
+
+
+def test_places_and_chunks_in_two_levels(spark):
+    at = [NOW + timedelta(minutes=7 * (i * 37 % 100)) for i in range(100)]
+    rows = [(f"r{i:02}", "t" if i % 3 else "u", at[i]) for i in range(100)] + [("null", "t", None)]
+    df = spark.createDataFrame(rows, "id string, tenant_id string, recorded_at timestamp_ntz")
+    for tenant in "tu":
+        order = [i for i, k, _ in sorted(rows, key=lambda x: (x[2] or datetime(1, 1, 1), x[0])) if k == tenant]
+        assert [r.id for r in lifecycle.places(df, ["tenant_id"], "recorded_at", ["id"]).where(F.col("tenant_id") == tenant).orderBy("place").collect()] == order
+    sizes = [r["count"] for r in lifecycle.chunks(df, "tenant_id", "recorded_at", 6).groupBy("tenant_id", "chunk").count().collect()]
+    assert set(sizes) <= {2, 3, 4, 5, 6} and sum(sizes) in (100, 101, 99)
+
+
+def test_checkpoints_need_a_shared_folder_on_a_cluster(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    from recallgrid.session import ensure_checkpoint_dir
+
+    unset = SimpleNamespace(isEmpty=lambda: True)
+    context = SimpleNamespace(master="spark://host:7077", _jsc=SimpleNamespace(sc=lambda: SimpleNamespace(getCheckpointDir=lambda: unset)))
+    with pytest.raises(ValueError):
+        ensure_checkpoint_dir(SimpleNamespace(sparkContext=context, conf=SimpleNamespace(get=lambda *a: None)))

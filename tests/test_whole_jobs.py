@@ -1,4 +1,4 @@
-"""Queries that give all of their job, against brute force; their namesakes keep the parts that their SQL has."""
+"""Queries over all of their job, against brute force."""
 
 import re
 import zlib
@@ -29,14 +29,14 @@ def contents(spark):
 
 
 def words_of(content):
-    words = [w for w in re.split(r"\s+", re.sub(r"[^\x00-\x7f]+", " ", content[:600]).lower()) if w and len(w) <= 64]
+    words = [w[:64] for w in re.split(r"\s+", re.sub(r"[^\x00-\x7f]+", " ", content[:600]).lower()) if w]
     return list(dict.fromkeys(words))[:32]
 
 
 def test_query_words_keep_all_words(spark, tmp_path):
     made = {"a": "One two ONE three", "many": " ".join(f"w{i}" for i in range(40)), "mixed": "東京 tower 東京 Tower x", "empty": "", "long": "y" * 65 + " z", "cut": "q " * 299 + "abcdef"}
     d = folder_of(spark, tmp_path, memories=(list(made.items()), "id string, content string"))
-    query = e.queries()["query_words_whole"]
+    query = e.queries()["query_words"]
     got = {r.id: r.w for r in query(spark, d).collect()}
     assert got == {k: words_of(v) for k, v in made.items()} and len(got["many"]) == 32 and got["a"] == ["one", "two", "three"]
     assert {r.id: r.w for r in query(spark, FOLDER).collect()} == {k: words_of(v) for k, v in contents(spark).items()}
@@ -53,7 +53,7 @@ def embedding_of(content):
 def test_deterministic_embedding_takes_every_content(spark, tmp_path):
     made = {"plain": "abcdefghij", "accents": "Grüße, café", "japanese": "東京の天気", "astral": "a😀b𝒳", "lines": "a\nb\tc\x00", "long": "語" * 50000, "empty": "", "null": None}
     d = folder_of(spark, tmp_path, memories=(list(made.items()), "id string, content string"))
-    query = e.queries()["deterministic_embedding_whole"]
+    query = e.queries()["deterministic_embedding"]
     got = {r.id: r.v for r in query(spark, d).collect()}
     assert got == {k: embedding_of(v) for k, v in made.items()} and got["empty"] == [0] * 8 and got["null"] is None
     assert {r.id: r.v for r in query(spark, FOLDER).collect()} == {k: embedding_of(v) for k, v in contents(spark).items()}
@@ -80,7 +80,7 @@ def test_vector_search_answers_more_queries_than_a_block(spark):
 
 def test_vector_search_takes_every_twentieth(spark):
     want = {r.memory_id for r in spark.read.parquet(f"{FOLDER}/memory_vectors.parquet").where("model = 'memo-embed-2' and tenant_id = 'tenant-0042'").collect() if zlib.crc32(r.memory_id.encode()) % 20 == 0 and len(r.embedding or []) == 64}
-    got = e.queries()["vector_search_many_whole"](spark, FOLDER).groupBy("key").count().collect()
+    got = e.queries()["vector_search_many"](spark, FOLDER).groupBy("key").count().collect()
     assert {r.key for r in got} == want and {r["count"] for r in got} == {10}
 
 
@@ -96,7 +96,7 @@ def test_observation_text_has_names_and_data(spark, tmp_path):
         "text": ('{"text": "x", "content": "C"}', "x"), "empty text": ('{"text": "", "content": "C"}', "C"), "other": ('{"z": 1}', '{"z": 1}'), "null": (None, "null"),
     }
     d = folder_of(spark, tmp_path, observations=([(k, v) for k, (v, _) in made.items()], "id string, payload string"))
-    query = e.queries()["observation_text_whole"]
+    query = e.queries()["observation_text"]
     assert {r.id: r.said for r in query(spark, d).collect()} == {k: said for k, (_, said) in made.items()}
     assert query(spark, FOLDER).where("said = 'name and data'").count() == 0
 
@@ -104,7 +104,7 @@ def test_observation_text_has_names_and_data(spark, tmp_path):
 def test_related_lists_have_every_id(spark, tmp_path):
     made = [(f"m{i * 7919 % 1000:03}", "M003" if i % 100 == 0 else None) for i in range(1000)] + [("m500", None), (None, None)]
     d = folder_of(spark, tmp_path, memories=(made, "id string, contested_with_id string"))
-    got = {r.id: (r.position, r.related) for r in e.queries()["related_lists_whole"](spark, d).collect()}
+    got = {r.id: (r.position, r.related) for r in e.queries()["related_lists"](spark, d).collect()}
     with_m003 = {i for i, other in made if other}
     assert len(got) == 1000 and all(got[f"m{i:03}"][0] == i for i in range(1000))
     assert set(got["m003"][1]) == with_m003 and got["m003"][1] == sorted(with_m003)
