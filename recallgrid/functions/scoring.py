@@ -48,3 +48,8 @@ def truncation_verdict(bar: Column, last_similarity: Column, bound: Column) -> C
     most = last_similarity * bound
     usable = bound.isNotNull() & (most > 0) & ~F.isnan(most) & (most < float("inf"))
     return F.when(~usable | ~F.coalesce(usable, F.lit(False)), "undecidable").when(bar / most >= 1, "provably_safe").otherwise("loss_possible")
+
+
+def score_bound(wanted: Sequence[str]) -> float:
+    """The most that the rest of the default score multiplies a similarity by: the wanted tags' bonus, if decay, freshness and strength are 1 at most."""
+    return 1 + TAG_BONUS * len(wanted)

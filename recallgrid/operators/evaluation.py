@@ -82,9 +82,9 @@ def clopper_pearson_upper(k: int, n: int, alpha: float = 0.05) -> float:
 
 
 def noisy_ranks(scored: DataFrame, sigma: float, seed: int) -> DataFrame:
-    """Rows ``(probe_id, id, place)`` after each score is multiplied by 1 + sigma e, e in [-1, 1) from a hash of seed, probe and id."""
-    e = F.pmod(F.xxhash64(F.lit(seed), "probe_id", "id"), F.lit(2**32)) / float(2**31) - 1
-    return scored.withColumn("place", F.row_number().over(W.partitionBy("probe_id").orderBy(F.desc(F.col("score") * (1 + sigma * e)), "id"))).select("probe_id", "id", "place")
+    """Rows ``(probe_id, id, place)`` after each score is perturbed by ``sigma`` and ``seed``; equal scores go by id."""
+    noisy = perturbed(F.col("score"), F.lit(sigma), F.lit(seed), "probe_id", "id")
+    return scored.withColumn("place", F.row_number().over(W.partitionBy("probe_id").orderBy(F.desc(noisy), "id"))).select("probe_id", "id", "place")
 
 
 def list_difference(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -94,3 +94,67 @@ def list_difference(a: DataFrame, b: DataFrame) -> DataFrame:
     ids = a.select("id", F.lit(1).alias("ina")).join(b.select("id", F.lit(1).alias("inb")), "id", "full").agg(F.count_if(F.col("inb").isNull()).alias("only_a"), F.count_if(F.col("ina").isNull()).alias("only_b"))
     out = both.agg(F.count_if(differs).alias("n_different"), F.coalesce(F.min(F.when(differs, F.col("position"))), F.count("*")).alias("prefix"))
     return out.join(F.broadcast(ids))  # one row each
+
+
+def pair_outcomes(trials: DataFrame) -> DataFrame:
+    """Rows ``(pair, n, off_passed, on_passed, off_rate, on_rate)`` of paired trials ``(pair, off_verdict, on_verdict)``; a verdict other than ``correct`` isn't passed."""
+    passed = lambda c: F.count_if(F.coalesce(F.col(c) == "correct", F.lit(False)))
+    out = trials.groupBy("pair").agg(F.count("*").alias("n"), passed("off_verdict").alias("off_passed"), passed("on_verdict").alias("on_passed"))
+    return out.withColumns({"off_rate": F.col("off_passed") / F.col("n"), "on_rate": F.col("on_passed") / F.col("n")})
+
+
+def superseded_groups(rows: DataFrame) -> DataFrame:
+    """Rows ``(reason, group_key, n_rows, first_id, confidence)``: consolidated memories are one group (``structural``), resolved ones stand alone (``per_item``), others are one group a reason (``unknown``).
+
+    ``rows`` has ``(id, reason)``; no reason is a reason of its own.
+    """
+    alone = F.coalesce(F.col("reason") == "contested_resolved", F.lit(False))
+    confidence = F.when(F.col("reason") == "consolidated", "structural").when(alone, "per_item").otherwise("unknown")
+    return rows.groupBy("reason", F.when(alone, F.col("id")).alias("group_key"), confidence.alias("confidence")).agg(F.count("*").alias("n_rows"), F.min("id").alias("first_id"))
+
+
+def intrusion(rows: DataFrame) -> DataFrame:
+    """Rows ``(probe, intrusion_margin)`` of candidates ``(probe, id, protected, score, place)``: the first one's score less the least protected score; null unless the first is protected."""
+    kept = F.col("id").isNotNull() & F.coalesce("protected", F.lit(False))
+    top = F.max(F.when(F.col("place") == 1, F.col("score")))
+    held = F.bool_or((F.col("place") == 1) & kept)
+    return rows.groupBy("probe").agg(F.when(held, top - F.min(F.when(kept, F.col("score")))).alias("intrusion_margin"))
+
+
+def perturbed(score: Column, sigma: Column, seed: Column, *key: str) -> Column:
+    """A score times 1 + sigma e, with e in [-1, 1) from the first 32 bits of an MD5 of seed and key, which other engines have too."""
+    text = F.concat_ws("|", seed.cast("string"), *[F.col(k).cast("string") for k in key])
+    e = F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("double") / float(2**31) - 1
+    return score * (1 + sigma * e)
+
+
+def noise_grid(sparse: DataFrame, dense: DataFrame, sigmas: list[float], seeds: list[int], fall: float) -> DataFrame:
+    """Rows ``(sigma, seed, sparse_mrr, dense_mrr, mrr_match, red_match)``: whether two sets of candidates give the same figures under the same noise.
+
+    Both have ``(probe_id, id, score, gold)``. A round is red where its mean reciprocal rank falls by ``fall`` or more from that
+    without noise. The grid is a short list of the caller's, so every candidate is repeated for it by ``explode``.
+    """
+    grid = F.array(*[F.struct(F.lit(float(s)).alias("sigma"), F.lit(n).alias("seed")) for s in [0.0, *sigmas] for n in seeds])
+
+    def figures(rows: DataFrame, name: str) -> DataFrame:
+        noisy = rows.select("*", F.inline(grid)).withColumn("noisy", perturbed(F.col("score"), F.col("sigma"), F.col("seed"), "probe_id", "id"))
+        gold = noisy.where("gold").groupBy("sigma", "seed", "probe_id").agg(F.max("noisy").alias("best"))
+        # A rank is one more than the number of candidates above the best gold one: a join by probe and a count, no sort.
+        above = noisy.join(gold, ["sigma", "seed", "probe_id"]).groupBy("sigma", "seed", "probe_id").agg((F.count_if(F.col("noisy") > F.col("best")) + 1).alias("rank"))
+        return above.groupBy("sigma", "seed").agg(F.avg(1.0 / F.col("rank")).alias(name))
+
+    both = figures(sparse, "sparse_mrr").join(figures(dense, "dense_mrr"), ["sigma", "seed"])
+    first = both.where("sigma = 0").select("seed", F.col("sparse_mrr").alias("s0"), F.col("dense_mrr").alias("d0"))
+    red = lambda now, base: (F.col(base) - F.col(now)) >= fall
+    out = both.where("sigma > 0").join(F.broadcast(first), "seed")  # one row a seed
+    return out.select("sigma", "seed", "sparse_mrr", "dense_mrr", (F.abs(F.col("sparse_mrr") - F.col("dense_mrr")) < 1e-12).alias("mrr_match"), (red("sparse_mrr", "s0") == red("dense_mrr", "d0")).alias("red_match"))
+
+
+def association_report(probes: DataFrame, by: str) -> DataFrame:
+    """Rows ``(by, n_probes, gold_returned, via_association, hit1, hit10, mrr, returned, memory_chars, association_chars, n_skipped)`` of an arm's probes."""
+    true = lambda c: F.count_if(F.coalesce(c, F.lit(False)))
+    rank = F.col("rank")
+    return probes.groupBy(by).agg(
+        F.count("*").alias("n_probes"), true(rank.isNotNull()).alias("gold_returned"), true(F.col("via") == "association").alias("via_association"), true(rank == 1).alias("hit1"), true(rank <= 10).alias("hit10"),
+        F.avg(F.coalesce(1.0 / rank, F.lit(0.0))).alias("mrr"), F.sum("returned").alias("returned"), F.sum("memory_chars").alias("memory_chars"), F.sum("association_chars").alias("association_chars"), true(F.col("skipped").isNotNull()).alias("n_skipped"),
+    )

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from recallgrid.functions.cleaning import cut_col
 from recallgrid.functions.decay import wall_floor_ms
 from recallgrid.functions.time import epoch_micros
 
@@ -129,3 +130,79 @@ def upserted(old: DataFrame, new: DataFrame, keys: list[str], at: str) -> DataFr
 def inserted_once(new: DataFrame, existing: DataFrame, keys: list[str]) -> DataFrame:
     """New rows whose key isn't there, each key once."""
     return new.dropDuplicates(keys).join(existing.select(*keys).distinct(), keys, "left_anti")
+
+
+def activity_dead(floor_seq: Column, now_seq: Column) -> Column:
+    """Whether a memory's counter floor has come; one without a floor never dies by activity."""
+    return floor_seq.isNotNull() & (floor_seq <= now_seq)
+
+
+def archive_sweep_by_clock(rows: DataFrame, now: str) -> DataFrame:
+    """Rows ``(id, decay_floor_at)`` of active memories that are dead on their tenant's clock: wall, activity, or both of them for ``either``.
+
+    ``rows`` are memories with ``decay_clock`` and ``now_seq``; without a clock the wall's counts.
+    """
+    wall = F.col("decay_floor_at") <= F.lit(now).cast("timestamp_ntz")
+    activity = activity_dead(F.col("decay_floor_seq"), F.col("now_seq"))
+    dead = F.when(F.col("decay_clock") == "activity", activity).when(F.col("decay_clock") == "either", wall & activity).otherwise(wall)
+    return one_each(rows.where((F.col("status") == "active") & F.coalesce(dead, F.lit(False)))).select("id", "decay_floor_at")
+
+
+def contested_groups(memories: DataFrame, groups: DataFrame) -> DataFrame:
+    """Rows ``(group_id, id, outcome, status)`` of requests ``(group_id, id)`` to contest: a group of two or more is marked if all are active, else refused as a whole."""
+    state = one_each(memories).select("id", "status")
+    rows = groups.select("group_id", F.lower("id").alias("id")).distinct().join(state, "id", "left")
+    sizes = rows.groupBy("group_id").agg(F.count("*").alias("n"), F.count_if(F.coalesce(F.col("status") == "active", F.lit(False))).alias("active"))
+    done = (F.col("n") >= 2) & (F.col("n") == F.col("active"))
+    return rows.join(sizes, "group_id").select("group_id", "id", F.when(done, "contested").otherwise("refused").alias("outcome"), F.when(done, "contested").otherwise(F.col("status")).alias("status"))
+
+
+def resolved(memories: DataFrame, requests: DataFrame) -> DataFrame:
+    """Rows ``(id, outcome, status, superseded_by_id)`` of requests ``(winner_id, loser_id)``: the winner of a mutual contested pair becomes active, the loser superseded by it.
+
+    A pair that isn't contested with each other is refused, and both keep their status. Without a loser a winner whose partner
+    is missing or no longer contested with it (an orphan) becomes active.
+    """
+    state = one_each(memories).select("id", "status", F.lower("contested_with_id").alias("other"))
+    asked = requests.select(F.lower("winner_id").alias("winner_id"), F.lower("loser_id").alias("loser_id")).distinct()
+    w = state.select(F.col("id").alias("winner_id"), F.col("status").alias("w_status"), F.col("other").alias("w_other"))
+    partner = state.select(F.col("id").alias("w_other"), F.col("status").alias("p_status"), F.col("other").alias("p_other"))
+    rows = asked.join(w, "winner_id", "left").join(partner, "w_other", "left")
+    contested = F.coalesce(F.col("w_status") == "contested", F.lit(False))
+    mutual = contested & F.coalesce((F.col("p_status") == "contested") & (F.col("p_other") == F.col("winner_id")), F.lit(False))
+    pair = mutual & F.coalesce(F.col("w_other") == F.col("loser_id"), F.lit(False))
+    orphan = contested & ~mutual & F.col("loser_id").isNull()
+    outcome = F.when(pair, "resolved").when(orphan, "orphan_resolved").otherwise("refused")
+    winners = rows.select(F.col("winner_id").alias("id"), outcome.alias("outcome"), F.when(pair | orphan, "active").otherwise(F.col("w_status")).alias("status"), F.lit(None).cast("string").alias("superseded_by_id"))
+    losers = rows.where("loser_id is not null").select(F.col("loser_id").alias("id"), outcome.alias("outcome"), pair.alias("pair"), "winner_id").join(state.select("id", F.col("status").alias("s")), "id", "left")
+    losers = losers.select("id", "outcome", F.when(F.col("pair"), "superseded").otherwise(F.col("s")).alias("status"), F.when(F.col("pair"), F.col("winner_id")).alias("superseded_by_id"))
+    return winners.unionByName(losers)
+
+
+def reflected(memories: DataFrame, group: Column, contents: DataFrame, least: int = 2, digest_units: int = 120) -> DataFrame:
+    """One new row a group: what ``consolidated`` gives, with the text written for it, its digest, hash, sorted sources and provenance.
+
+    ``contents`` has ``(group_key, content, digest, tags)``; without a digest it is the text's beginning, a null list of tags
+    leaves the sources' tags, blank tags are dropped. A group without a text, or with an empty one, comes to nothing.
+    """
+    built = consolidated(memories, group, least).withColumnRenamed("tags", "_tags")
+    sources = one_each(memories).withColumn("group_key", group).groupBy("group_key").agg(F.array_sort(F.collect_list("id")).alias("sources"))
+    rows = built.join(contents.where("content is not null and content <> ''"), "group_key").join(sources, "group_key")
+    own = F.filter("tags", lambda t: F.trim(t) != "")
+    return rows.select(
+        "group_key", "n_sources", "sources", "subject_id", "content", F.sha2("content", 256).alias("content_hash"), F.coalesce(F.when(F.col("digest") != "", F.col("digest")), cut_col(F.col("content"), digest_units)).alias("digest"),
+        F.coalesce(own, F.col("_tags")).alias("tags"), "attributes", "occurred_at", "valid_from", "valid_until", F.lit("reflected").alias("provenance_kind"),
+    )
+
+
+def corrected(memories: DataFrame, corrections: DataFrame) -> DataFrame:
+    """Rows ``(id, new_id, outcome)`` of corrections ``(id, new_id)``: an active memory is superseded by the new one; already so, refused or not found."""
+    state = one_each(memories).select("id", "status", F.lower("superseded_by_id").alias("by"))
+    rows = corrections.select(F.lower("id").alias("id"), F.lower("new_id").alias("new_id")).distinct().join(state, "id", "left")
+    outcome = F.when(F.col("status").isNull(), "not_found").when(F.col("status") == "active", "superseded").when((F.col("status") == "superseded") & (F.col("by") == F.col("new_id")), "already").otherwise("refused")
+    return rows.select("id", "new_id", outcome.alias("outcome"))
+
+
+def candidate_subject(given: Column, own: Column, observed: Column) -> Column:
+    """A candidate's subject if it was given, be it null, else the observation's."""
+    return F.when(given, own).otherwise(observed)

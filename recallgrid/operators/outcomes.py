@@ -138,3 +138,9 @@ def in_registry(memories: DataFrame, registry: DataFrame, wanted: list[str]) ->
     names = registry.where(F.col("label").isin(wanted)).select("tenant_id", "label").distinct()
     rows = memories.select("id", "tenant_id", F.explode("tags").alias("label")).where(F.col("label").isin(wanted))
     return rows.join(names, ["tenant_id", "label"], "left_semi").select("id").distinct()
+
+
+def usage_mismatches(uses: DataFrame, recalls: DataFrame, memories: DataFrame) -> DataFrame:
+    """Rows ``(usage_id, other_recall, other_memory)``: uses ``(usage_id, tenant_id, recall_id, memory_id)`` whose recall ``(recall_id, recall_tenant)`` or memory ``(memory_id, memory_tenant)`` is another tenant's."""
+    rows = uses.join(recalls, "recall_id").join(memories, "memory_id")
+    return rows.select("usage_id", (F.col("recall_tenant") != F.col("tenant_id")).alias("other_recall"), (F.col("memory_tenant") != F.col("tenant_id")).alias("other_memory"))

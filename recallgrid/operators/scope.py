@@ -86,8 +86,8 @@ class Scope:
         return out
 
 
-def scope_aggregate(memories: DataFrame, scope: Scope) -> DataFrame:
-    """One row of exact counts: live rows in scope, those not indexed by reason, and those left out by the first filter that stops them."""
+def scope_aggregate(memories: DataFrame, scope: Scope, skip: bool = False) -> DataFrame:
+    """One row of exact counts (with ``skip`` nothing is read, and all of them are null: unknown): live rows in scope, those not indexed by reason, and those left out by the first filter that stops them."""
     rows = memories.where(scope.tenant_filter() & scope.subject_filter())
     live, period, valid, alive = F.col("status").isin(list(LIVE)), scope.period_filter(), scope.validity_filter(), scope.decay_filter()
     at = F.lit(scope.valid_at).cast("timestamp_ntz") if scope.valid_at else None
@@ -95,7 +95,7 @@ def scope_aggregate(memories: DataFrame, scope: Scope) -> DataFrame:
     early = live & period & ~F.coalesce(F.col("valid_until") <= at, F.lit(False)) & (F.col("valid_from") > at) if at is not None else F.lit(False)
     inside = live & period & valid
     count = lambda c: F.count_if(F.coalesce(c, F.lit(False)))
-    return rows.agg(
+    counts = rows.agg(
         count(inside & alive).alias("in_scope"),
         *[count(inside & alive & (F.col("embedding_status") == s)).alias(f"not_indexed_{s}") for s in ("pending", "failed", "skipped")],
         *[count(F.col("status") == s).alias(s) for s in ("archived", "superseded", "forgotten")],
@@ -105,6 +105,9 @@ def scope_aggregate(memories: DataFrame, scope: Scope) -> DataFrame:
         count(inside & ~alive).alias("filtered_decayed"),
         count(inside & alive & F.col("provenance_kind").isin(list(scope.exclude_provenance))).alias("excluded_provenance") if scope.exclude_provenance else F.lit(0).cast("bigint").alias("excluded_provenance"),
     )
+    if skip:
+        return memories.sparkSession.range(1).select(*[F.lit(None).cast("bigint").alias(c) for c in counts.columns])
+    return counts
 
 
 def subject_groups(memories: DataFrame, scope: Scope) -> DataFrame:

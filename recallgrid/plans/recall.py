@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from recallgrid.functions.cleaning import measured_affinity
 from recallgrid.functions.decay import activity_strength, clock_strength, wall_strength
-from recallgrid.functions.scoring import SCORE_THRESHOLD, affinity, freshness, partition, tag_match, total
+from recallgrid.functions.scoring import SCORE_THRESHOLD, affinity, freshness, partition, score_bound, tag_match, total, truncation_verdict
 from recallgrid.functions.time import epoch_micros
 from recallgrid.operators.outbox import activity_now
 from recallgrid.operators.scope import Scope
@@ -45,13 +47,26 @@ def clocked(rows: DataFrame, settings: DataFrame, counters: DataFrame) -> DataFr
     return activity_now(rows, counters).join(settings.select("tenant_id", "decay_clock"), "tenant_id", "left")
 
 
+@dataclass(frozen=True)
+class Strategy:
+    """How a candidate's score comes about, as functions that give columns; a project can put its own in.
+
+    ``score`` takes the columns affinity, decay, freshness, tags and strength; ``bound`` gives, from the wanted tags, the most
+    that the rest of the score can multiply a similarity by, or None where there is no such bound.
+    """
+
+    score: Callable[[Column, Column, Column, Column, Column], Column] = total
+    bound: Callable[[Sequence[str]], float | None] = score_bound
+
+
 def rescored(
-    found: DataFrame, memories: DataFrame, now: str, wanted_tags: Sequence[str] = (), limit: int = LIMIT, threshold: float = SCORE_THRESHOLD, settings: DataFrame | None = None, counters: DataFrame | None = None
+    found: DataFrame, memories: DataFrame, now: str, wanted_tags: Sequence[str] = (), limit: int = LIMIT, threshold: float = SCORE_THRESHOLD, settings: DataFrame | None = None, counters: DataFrame | None = None, strategy: Strategy = Strategy()
 ) -> DataFrame:
-    """Rows ``(id, total, part, place, digest_length)``: returned, over_limit, below_threshold or not_comparable, in rank order.
+    """Rows ``(id, total, part, place, at, digest_length, score)``: returned, over_limit, below_threshold or not_comparable, in rank order.
 
-    ``found`` has at most two channels of limit * 4 rows, so its windows are small whatever the memories. With ``settings``
-    and ``counters`` decay goes by each tenant's clock, else by the wall clock.
+    ``score`` has the parts of the total, and whether any relevance was measured. ``found`` has at most two channels of
+    limit * 4 rows, so its windows and its broadcast are small whatever the memories. With ``settings`` and ``counters`` decay
+    goes by each tenant's clock, else by the wall clock.
     """
     spark = memories.sparkSession
     now_ms = epoch_micros(spark, F.lit(now).cast("timestamp_ntz")) / 1000.0
@@ -60,14 +75,49 @@ def rescored(
     rows = memories.join(F.broadcast(found.select("id", "similarity", "lexical")), "id").dropDuplicates(["id"])
     if settings is not None and counters is not None:
         rows = clocked(rows, settings, counters)
-    strength = F.col("strength").cast("double")
     half = F.col("half_life_hours").cast("double")
-    score = total(affinity(F.col("similarity"), F.col("lexical")), scoring_decay(rows, now), freshness(ms("occurred_at"), now_ms, half), tag_match(F.col("tags"), wanted_tags), strength)
-    rows = rows.select("id", score.alias("total"), F.coalesce("occurred_at", "recorded_at").alias("at"), F.length("digest").alias("digest_length")).withColumn("side", partition(F.col("total"), threshold))
+    measured = F.col("similarity").isNotNull() | F.col("lexical").isNotNull()
+    parts = F.struct(
+        scoring_decay(rows, now).alias("decay"), freshness(ms("occurred_at"), now_ms, half).alias("freshness"), tag_match(F.col("tags"), wanted_tags).alias("tag_match"), F.col("strength").cast("double").alias("strength"),
+        affinity(F.col("similarity"), F.col("lexical")).alias("affinity"), measured.alias("affinity_measured"), "similarity", "lexical",
+    )
+    rows = rows.select("id", parts.alias("score"), F.coalesce("occurred_at", "recorded_at").alias("at"), F.length("digest").alias("digest_length"))
+    of = lambda c: F.col("score")[c]
+    rows = rows.withColumn("total", strategy.score(of("affinity"), of("decay"), of("freshness"), of("tag_match"), of("strength")))
+    rows = rows.withColumn("side", partition(F.col("total"), threshold))
     order = W.partitionBy("side").orderBy(F.isnan("total"), F.desc("total"), F.desc("at"), "id")
     rows = rows.withColumn("place", F.row_number().over(order))
     part = F.when(F.col("side") == "not_comparable", "not_comparable").when(F.col("side") == "below", "below_threshold").when(F.col("place") <= limit, "returned").otherwise("over_limit")
-    return rows.select("id", "total", part.alias("part"), "place", "at", "digest_length")
+    return rows.select("id", "total", part.alias("part"), "place", "at", "digest_length", "score")
+
+
+def truncation(scored: DataFrame, wanted_tags: Sequence[str] = (), threshold: float = SCORE_THRESHOLD, strategy: Strategy = Strategy(), lexical_ran: bool = False) -> DataFrame:
+    """One row ``(bar, last_similarity, ratio, verdict)``: whether a vector beyond the search's window could have come among the returned.
+
+    The bar is the last returned total, the threshold if none was returned. Where words were searched too a row beyond the
+    window may have any relevance, so nothing can be said.
+    """
+    bound = None if lexical_ran else strategy.bound(wanted_tags)
+    row = scored.agg(F.coalesce(F.min(F.when(F.col("part") == "returned", F.col("total"))), F.lit(threshold)).alias("bar"), F.min(F.col("score.similarity")).alias("last_similarity"))
+    limit = F.lit(bound).cast("double")
+    ratio = F.col("bar") / F.when(F.col("last_similarity") * limit > 0, F.col("last_similarity") * limit)
+    return row.select("bar", "last_similarity", ratio.alias("ratio"), truncation_verdict(F.col("bar"), F.col("last_similarity"), limit).alias("verdict"))
+
+
+def neighbourhood(found: DataFrame, seed: str, least: float, most: int) -> DataFrame:
+    """Rows ``(id, affinity, place)``: the seed first, then the found whose measured relevance is ``least`` or more, the best first, ``most`` in all.
+
+    ``found`` has at most two channels' rows, so the window is small.
+    """
+    near = found.select("id", measured_affinity(F.col("similarity"), F.col("lexical")).alias("affinity")).where((F.col("affinity") >= least) | (F.col("id") == seed))
+    place = F.row_number().over(W.orderBy(F.desc(F.col("id") == seed), F.desc("affinity"), "id"))
+    return near.withColumn("place", place).where(F.col("place") <= most)
+
+
+def correction_candidates(scored: DataFrame, exclude: DataFrame, most: int = 3) -> DataFrame:
+    """Rows ``(id, place, total)``: the best returned without the excluded ids; they keep their places in the recall."""
+    rows = scored.where("part = 'returned'").join(exclude.select(F.lower("id").alias("id")).distinct(), "id", "left_anti")
+    return rows.orderBy("place").limit(most).select("id", "place", "total")
 
 
 def companions(returned: DataFrame, memories: DataFrame) -> DataFrame:
@@ -96,18 +146,27 @@ def associated(returned: DataFrame, memories: DataFrame, vectors: DataFrame, sco
     return keyed.withColumn("place", rank).where(F.col("place") <= most)
 
 
-def budget_cut(units: DataFrame, characters: int, tokens: int | None = None) -> DataFrame:
-    """The longest prefix, by ``place``, whose characters (and tokens) fit; a unit that doesn't fit ends it. Rows ``(id, place, kept)``."""
+def budget_cut(units: DataFrame, characters: int, tokens: int | None = None, counter: Callable[[Column], Column] | None = None) -> DataFrame:
+    """The longest prefix, by ``place``, whose characters (and tokens) fit; a unit that doesn't fit ends it. Rows ``(id, place, kept)``.
+
+    ``counter`` gives a digest's tokens from the column ``digest``, by default a token for four characters; what it counts as
+    null, NaN or less than nothing ends the prefix.
+    """
     before = W.orderBy("place").rowsBetween(W.unboundedPreceding, 0)
     fits = F.sum("digest_length").over(before) <= characters
     if tokens is not None:
-        fits = fits & (F.sum(F.ceil(F.col("digest_length") / 4)).over(before) <= tokens)
+        each = F.ceil(F.col("digest_length") / 4).cast("double") if counter is None else counter(F.col("digest")).cast("double")
+        each = F.when((each >= 0) & ~F.isnan(each), each).otherwise(F.lit(float("inf")))
+        fits = fits & (F.sum(each).over(before) <= tokens)
     return units.select("id", "place", fits.alias("kept"))
 
 
-def omissions(scored: DataFrame) -> DataFrame:
-    """Counts of what the plan found and didn't return, by kind; all are exact."""
-    return scored.where("part <> 'returned'").groupBy(F.col("part").alias("kind")).agg(F.count("*").alias("n_rows"))
+def omissions(scored: DataFrame, promoted: DataFrame | None = None) -> DataFrame:
+    """Counts of what the plan found and didn't return, by kind; all are exact. Rows ``promoted`` by a companion or association aren't left out."""
+    rows = scored.where("part <> 'returned'")
+    if promoted is not None:
+        rows = rows.join(promoted.select("id").distinct(), "id", "left_anti")
+    return rows.groupBy(F.col("part").alias("kind")).agg(F.count("*").alias("n_rows"))
 
 
 def near_misses(scored: DataFrame, most: int = NEAR_MISSES) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from recallgrid.functions import decay, scoring, text, vectors
@@ -87,9 +89,9 @@ _L = "status IN ('active','contested')"
  count(*) FILTER ({_L} AND {_P} AND {_V} AND {_A} AND embedding_status='pending') AS not_indexed_pending, count(*) FILTER ({_L} AND {_P} AND {_V} AND {_A} AND embedding_status='failed') AS not_indexed_failed,
  count(*) FILTER ({_L} AND {_P} AND {_V} AND {_A} AND embedding_status='skipped') AS not_indexed_skipped, count(*) FILTER (status='archived') AS archived, count(*) FILTER (status='superseded') AS superseded, count(*) FILTER (status='forgotten') AS forgotten,
  count(*) FILTER ({_L} AND NOT {_P}) AS filtered_period, count(*) FILTER ({_L} AND {_P} AND valid_until <= {T}) AS filtered_expired, count(*) FILTER ({_L} AND {_P} AND NOT coalesce(valid_until <= {T}, false) AND valid_from > {T}) AS filtered_not_yet_valid,
- count(*) FILTER ({_L} AND {_P} AND {_V} AND NOT {_A}) AS filtered_decayed, 0 AS excluded_provenance FROM {MEM} m WHERE tenant_id = '{TENANT}'""")
+ count(*) FILTER ({_L} AND {_P} AND {_V} AND NOT {_A}) AS filtered_decayed, count(*) FILTER ({_L} AND {_P} AND {_V} AND {_A} AND provenance_kind IN ('imported', 'inferred')) AS excluded_provenance FROM {MEM} m WHERE tenant_id = '{TENANT}'""")
 def scope_aggregate(spark, d):
-    return scope.scope_aggregate(lifecycle.one_each(mem(spark, d).where(SCOPE.tenant_filter())), SCOPE)
+    return scope.scope_aggregate(lifecycle.one_each(mem(spark, d).where(SCOPE.tenant_filter())), replace(SCOPE, exclude_provenance=("imported", "inferred")))
 
 
 @query("subject_groups", f"SELECT subject_id, count(*) AS n_rows FROM {MEM} m WHERE {LIVE_SQL} GROUP BY 1")
@@ -549,7 +551,10 @@ def red_windows(spark, d):
     return evaluation.red_windows(e.join(F.broadcast(first)).select((F.col("event_id") - F.col("m")).alias("position"), (F.col("event_type") == "error").alias("red")), 5, 2)
 
 
-@query("noisy_ranks")
+_E = lambda seed, *key: "(('0x' || substr(md5(" + " || '|' || ".join([str(seed), *key]) + "), 1, 8))::BIGINT / 2147483648.0::DOUBLE - 1)"
+
+
+@query("noisy_ranks", f"SELECT label AS probe_id, vec_id AS id, row_number() OVER (PARTITION BY label ORDER BY (vec_id % 97 / 97.0::DOUBLE) * (1 + 0.05::DOUBLE * {_E(7, 'label', 'vec_id')}) DESC, vec_id) AS place FROM embeddings")
 def noisy_ranks(spark, d):
     e = table(spark, d, "embeddings").select(F.col("label").alias("probe_id"), F.col("vec_id").alias("id"), (F.col("vec_id") % 97 / 97.0).alias("score"))
     return evaluation.noisy_ranks(e, 0.05, 7)
