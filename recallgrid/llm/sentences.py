@@ -113,7 +113,7 @@ class Languages:
 
     def __init__(self, words: dict[str, list[tuple[str, float]]], script_of: dict[str, str]):
         self.words, self.script_of = words, script_of
-        self.latin = {la for la, script in script_of.items() if script == ""}
+        self.latin = {la: True for la, script in script_of.items() if script == ""}
         self.common = next(iter(self.latin), "und")  # the first is the most frequent
 
     def of_line(self, line: str, said: str) -> str:
@@ -167,14 +167,16 @@ def learn_languages(documents: DataFrame, text: str = "text", lang: str = "lang"
 
     schema = StructType([StructField("a", StringType()), StructField("b", StringType()), StructField("n", LongType())])
     sums = cut_lineage(spread(sample).mapInArrow(count, schema).groupBy("a", "b").agg(F.sum("n").alias("n")))
-    own = sums.where("left(b, 1) = '\\0'").groupBy("a").agg(F.max_by(F.expr("substring(b, 2)"), "n").alias("script"), F.sum("n").alias("letters")).orderBy(F.desc("letters"), "a")
-    script_of = {r.a: r.script for r in own.collect()}  # one row a language tag
-    total = sums.where("left(b, 1) <> '\\0'").groupBy("a").agg(F.sum("n").alias("total"))
-    often = sums.join(F.broadcast(total), "a").where("left(b, 1) <> '\\0'").where((F.col("n") >= LEAST_WORD * F.col("total")) & (F.col("n") >= 2))
+    letters = F.expr("left(b, 1) = '\\0'")
+    own = sums.groupBy("a").agg(F.max_by(F.when(letters, F.expr("substring(b, 2)")), F.when(letters, F.col("n"))).alias("script"), F.sum(F.when(letters, F.col("n"))).alias("letters"), F.sum(F.when(~letters, F.col("n"))).alias("total"))
+    tags = sorted(own.collect(), key=lambda r: (-(r.letters or 0), r.a))  # one row a language tag
+    script_of = {r.a: r.script or "" for r in tags}
+    total = {r.a: r.total for r in tags if script_of[r.a] == "" and r.total}
+    least = F.create_map(*[F.lit(x) for a, n in total.items() for x in (a, max(2.0, LEAST_WORD * n))]) if total else None
+    often = sums.where(~letters & (F.col("n") >= least[F.col("a")])).collect() if total else []  # at most 1 / LEAST_WORD words a language
     share: dict[str, dict[str, float]] = defaultdict(dict)
-    for r in often.collect():  # at most 1 / LEAST_WORD words a language
-        if script_of.get(r.a) == "":
-            share[r.b][r.a] = r.n / r.total
+    for r in often:
+        share[r.b][r.a] = r.n / total[r.a]
     languages = max(1, sum(script == "" for script in script_of.values()))
     words = {}
     for w, by in share.items():
