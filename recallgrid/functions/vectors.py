@@ -2,19 +2,28 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Sequence
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
+def dot_sql(a: str, b: str) -> str:
+    return f"aggregate(zip_with({a}, {b}, (x, y) -> double(x) * double(y)), 0D, (s, x) -> s + x)"
+
+
+def cosine_distance_sql(a: str, b: str) -> str:
+    """1 - cosine of two SQL expressions; NaN for a zero vector, other lengths or a null element, and such rows sort last.
+
+    One SQL text, as a plan made of single columns takes longer to build than to run.
+    """
+    norms = f"sqrt({dot_sql(a, a)}) * sqrt({dot_sql(b, b)})"
+    return f"coalesce(if(size({a}) = size({b}) and {norms} > 0, 1 - {dot_sql(a, b)} / ({norms}), null), double('NaN'))"
 
 
-def cosine_distance(a: Column, b: Column) -> Column:
-    """1 - cosine; NaN for a zero vector, other lengths or a null element, and such rows sort last."""
-    norms = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
-    value = F.when((F.size(a) == F.size(b)) & (norms > 0), 1 - dot(a, b) / F.when(norms > 0, norms))
-    return F.coalesce(value, F.lit(float("nan")))
+def vector_sql(values: Sequence[float]) -> str:
+    return "array(" + ", ".join(f"{float(v)!r}D" if math.isfinite(v) else f"double('{v}')" for v in values) + ")"
 
 
 def deterministic_embedding(text: Column, dimensions: int = 8) -> Column:

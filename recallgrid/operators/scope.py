@@ -87,24 +87,26 @@ class Scope:
 
 
 def scope_aggregate(memories: DataFrame, scope: Scope, skip: bool = False) -> DataFrame:
-    """One row of exact counts (with ``skip`` nothing is read, and all of them are null: unknown): live rows in scope, those not indexed by reason, and those left out by the first filter that stops them."""
-    rows = memories.where(scope.tenant_filter() & scope.subject_filter())
+    """One row of exact counts (with ``skip`` nothing is read, and all of them are null: unknown), rows of one id counting once: live rows in scope, those not indexed by reason, and those left out by the first filter that stops them."""
     live, period, valid, alive = F.col("status").isin(list(LIVE)), scope.period_filter(), scope.validity_filter(), scope.decay_filter()
     at = F.lit(scope.valid_at).cast("timestamp_ntz") if scope.valid_at else None
     expired = live & period & (F.col("valid_until") <= at) if at is not None else F.lit(False)
     early = live & period & ~F.coalesce(F.col("valid_until") <= at, F.lit(False)) & (F.col("valid_from") > at) if at is not None else F.lit(False)
-    inside = live & period & valid
-    count = lambda c: F.count_if(F.coalesce(c, F.lit(False)))
-    counts = rows.agg(
-        count(inside & alive).alias("in_scope"),
-        *[count(inside & alive & (F.col("embedding_status") == s)).alias(f"not_indexed_{s}") for s in ("pending", "failed", "skipped")],
-        *[count(F.col("status") == s).alias(s) for s in ("archived", "superseded", "forgotten")],
-        count(live & ~period).alias("filtered_period"),
-        count(expired).alias("filtered_expired"),
-        count(early).alias("filtered_not_yet_valid"),
-        count(inside & ~alive).alias("filtered_decayed"),
-        count(inside & alive & F.col("provenance_kind").isin(list(scope.exclude_provenance))).alias("excluded_provenance") if scope.exclude_provenance else F.lit(0).cast("bigint").alias("excluded_provenance"),
-    )
+    inside = live & period & valid & alive
+    flags = {
+        "in_scope": inside,
+        **{f"not_indexed_{s}": inside & (F.col("embedding_status") == s) for s in ("pending", "failed", "skipped")},
+        **{s: F.col("status") == s for s in ("archived", "superseded", "forgotten")},
+        "filtered_period": live & ~period,
+        "filtered_expired": expired,
+        "filtered_not_yet_valid": early,
+        "filtered_decayed": live & period & valid & ~alive,
+        "excluded_provenance": inside & F.col("provenance_kind").isin(list(scope.exclude_provenance)) if scope.exclude_provenance else F.lit(False),
+    }
+    # A row's flags are the bits of one integer, so that its repetitions are removed by a hash aggregate of integers.
+    bits = sum((F.when(c, F.lit(1 << i)).otherwise(F.lit(0)) for i, c in enumerate(flags.values())), F.lit(0))
+    rows = memories.where(scope.tenant_filter() & scope.subject_filter()).select("id", bits.alias("bits")).groupBy("id").agg(F.max("bits").alias("bits"))
+    counts = rows.agg(*[F.count_if(F.col("bits").bitwiseAND(1 << i) != 0).alias(n) for i, n in enumerate(flags)])
     if skip:
         return memories.sparkSession.range(1).select(*[F.lit(None).cast("bigint").alias(c) for c in counts.columns])
     return counts

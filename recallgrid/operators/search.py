@@ -15,7 +15,7 @@ from pyspark.sql.types import StructType
 
 from recallgrid.functions.text import tokens
 from recallgrid.functions.time import epoch_micros
-from recallgrid.functions.vectors import cosine_distance
+from recallgrid.functions.vectors import cosine_distance_sql, vector_sql
 from recallgrid.operators.scope import Scope, effective_time
 
 #: Queries, and rows, whose distances a task has at a time: 8 MB of doubles.
@@ -33,8 +33,8 @@ def vector_search(memories: DataFrame, vectors: DataFrame, query: Sequence[float
     """
     rows = memories.where(scope.filter()).select("id", "recorded_at").dropDuplicates(["id"])
     own = vectors.where(F.col("tenant_id") == scope.tenant).select(F.col("memory_id").alias("id"), "embedding")
-    literal = F.array(*[F.lit(float(x)) for x in query])
-    return rows.join(own, "id").select("id", cosine_distance(F.col("embedding"), literal).alias("distance"), "recorded_at").orderBy(*_order()).limit(k)
+    distance = F.expr(cosine_distance_sql("embedding", vector_sql(query)))
+    return rows.join(own, "id").select("id", distance.alias("distance"), "recorded_at").orderBy(*_order()).limit(k)
 
 
 def _packed(*names: str):
@@ -51,7 +51,7 @@ def _packed(*names: str):
 
 
 def _distances(a: list, b: list) -> np.ndarray:
-    """``cosine_distance`` of each in ``a`` to each in ``b``, added in the same order, so equal vectors have equal distances."""
+    """``cosine_distance_sql`` of each in ``a`` to each in ``b``, added in the same order, so equal vectors have equal distances."""
     out = np.full((len(a), len(b)), np.nan)
     for n in {len(x) for x in a} - {0}:
         i, j = [k for k, x in enumerate(a) if len(x) == n], [k for k, x in enumerate(b) if len(x) == n]

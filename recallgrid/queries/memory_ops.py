@@ -91,7 +91,7 @@ _L = "status IN ('active','contested')"
  count(*) FILTER ({_L} AND NOT {_P}) AS filtered_period, count(*) FILTER ({_L} AND {_P} AND valid_until <= {T}) AS filtered_expired, count(*) FILTER ({_L} AND {_P} AND NOT coalesce(valid_until <= {T}, false) AND valid_from > {T}) AS filtered_not_yet_valid,
  count(*) FILTER ({_L} AND {_P} AND {_V} AND NOT {_A}) AS filtered_decayed, count(*) FILTER ({_L} AND {_P} AND {_V} AND {_A} AND provenance_kind IN ('imported', 'inferred')) AS excluded_provenance FROM {MEM} m WHERE tenant_id = '{TENANT}'""")
 def scope_aggregate(spark, d):
-    return scope.scope_aggregate(lifecycle.one_each(mem(spark, d).where(SCOPE.tenant_filter())), replace(SCOPE, exclude_provenance=("imported", "inferred")))
+    return scope.scope_aggregate(mem(spark, d), replace(SCOPE, exclude_provenance=("imported", "inferred")))
 
 
 @query("subject_groups", f"SELECT subject_id, count(*) AS n_rows FROM {MEM} m WHERE {LIVE_SQL} GROUP BY 1")

@@ -18,6 +18,7 @@ def local_session(cores: int | str = "*", app: str = "recallgrid", **conf: str)
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")  # else every column expression looks up its place in the source
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", os.environ.get("RECALLGRID_DRIVER_MEMORY", "8g"))
