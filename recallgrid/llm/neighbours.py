@@ -35,6 +35,8 @@ DIMENSIONS = 64
 SAMPLE, CELL_ROWS, BLOCK_ROWS = 40_000, 600, 50_000
 #: Rows of a block at least, where a small table is to use all cores.
 LEAST_BLOCK = 10_000
+#: Vectors of the sample on which the number of cells to look into is tried.
+TRIED = 2000
 #: The most finer cells of a coarse one: with 5,000 coarse cells enough for three thousand million vectors, from where cells grow.
 MOST_FINE = 1024
 #: Vectors and queries of a task, about.
@@ -357,6 +359,27 @@ class Index:
             n += pieces
         return out.reshape(-1)
 
+    def probes_for(self, k: int, recall: float) -> int:
+        """Cells to look into so that ``recall`` of the ``k`` nearest are in them, tried on the sample: every ``TRIED``-th of it against all of it.
+
+        Neighbours in the sample are farther away than those in all vectors, so the recall of all is rather higher. The number
+        follows the cells, however many there are.
+        """
+        q = self.sample[:: max(1, len(self.sample) // TRIED)]
+        near = np.empty((len(q), min(k + 1, len(self.sample))), dtype=np.int64)
+        for i in range(0, len(q), 256):
+            near[i : i + 256] = np.argpartition(-(q[i : i + 256] @ self.sample.T), near.shape[1] - 1, axis=1)[:, : near.shape[1]]
+        homes = np.concatenate([self.cells.nearest(self.sample[i : i + PANEL], 1)[:, 0] for i in range(0, len(self.sample), PANEL)])
+        own = near == (np.arange(len(q)) * max(1, len(self.sample) // TRIED))[:, None]
+        probes = 8
+        while probes < len(self.cells.coarse):
+            looked = self.cells.nearest(q, probes)
+            found = (homes[near][:, :, None] == looked[:, None, :]).any(2)
+            if found[~own].mean() >= recall:
+                break
+            probes = probes * 5 // 4 + 1
+        return min(probes, len(self.cells.coarse))
+
     def layout(self, probes: int, part_rows: int, slice_rows: int, asked: float, least: float = -2.0) -> tuple[np.ndarray, np.ndarray]:
         """Parts and slices of each block; ``asked`` is the share of the vectors that are queries."""
         blocks = int(self.block_of.max()) + 1

@@ -60,7 +60,9 @@ def test_recall_with_many_fine_cells_parts_and_slices(spark, monkeypatch):
     want = sum(int((row[np.argsort(-row)[:5]] >= 0.9).sum()) for row in s)
     assert want > 2000 and sum(s[a, b] >= kth[a] - 2e-4 for a, b in near) >= 0.97 * want
     asked = base.where(twentieth(base["id"]))
-    got = [(int(g.a[1:]), int(g.b[1:])) for g in neighbours(index, base, asked, 5, 36, asked=0.05).collect()]
+    probes = index.probes_for(5, 0.93)
+    assert probes > 8
+    got = [(int(g.a[1:]), int(g.b[1:])) for g in neighbours(index, base, asked, 5, probes, asked=0.05).collect()]
     assert sum(s[a, b] >= kth[a] - 2e-4 for a, b in got) >= 0.9 * 5 * asked.count()
 
 
