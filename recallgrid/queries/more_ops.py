@@ -153,7 +153,7 @@ def recall_breakdown(spark, d):
 
 
 @query("recall_truncation", _RECALL + """, b AS (SELECT coalesce(min(total) FILTER (part = 'returned'), 0.1) AS bar, (SELECT min(similarity) FILTER (NOT isnan(similarity)) FROM near) AS last FROM scored)
-SELECT round(bar, 9) AS bar, round(last, 9) AS last_similarity, round(bar / (last * 1.1::DOUBLE), 9) AS ratio, CASE WHEN NOT last > 0 THEN 'undecidable' WHEN bar / (last * 1.1::DOUBLE) >= 1 THEN 'provably_safe' ELSE 'loss_possible' END AS verdict FROM b""")
+SELECT round(bar, 9) AS bar, round(last, 9) AS last_similarity, round(CASE WHEN last > 0 THEN bar / (last * 1.1::DOUBLE) END, 9) AS ratio, CASE WHEN NOT last > 0 THEN 'undecidable' WHEN bar / (last * 1.1::DOUBLE) >= 1 THEN 'provably_safe' ELSE 'loss_possible' END AS verdict FROM b""")
 def recall_truncation(spark, d):
     found = _scored(spark, d).withColumn("score", F.col("score").withField("similarity", F.when(~F.isnan("score.similarity"), F.col("score.similarity"))))
     return recall.truncation(found, ["billing"]).withColumns({c: F.round(c, 9) for c in ("bar", "last_similarity", "ratio")})
