@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 MAX_KEY_LENGTH = 256
-#: White space of the reference's runtime; it differs from Python's in U+0085, U+001C to U+001F and U+FEFF.
+#: White space of the source system's runtime; it differs from Python's in U+0085, U+001C to U+001F and U+FEFF; fixed values.
 WHITE = "\t\n\v\f\r \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
 _RUN = re.compile(f"[{WHITE}]+")
 

@@ -52,6 +52,6 @@ def alive_on_activity(floor_seq: Column, now_seq: Column, subject_seq: Column |
     return floor_seq.isNull() | (floor_seq > now)
 
 
-def first_miss_hours(similarity: Column, half_life: float, threshold: float = THRESHOLD, score_threshold: float = 0.1) -> Column:
-    """Hours until a fact drops below the score threshold or the decay threshold, whichever comes first."""
-    return F.least(half_life * F.log2(similarity / score_threshold), F.lit(half_life * math.log2(1 / threshold)))
+def first_miss_hours(similarity: Column, half_life: Column, threshold: float = THRESHOLD, score_threshold: float = 0.1) -> Column:
+    """Hours until a fact drops below the score threshold or the decay threshold, whichever comes first; negative if it is below already."""
+    return F.least(half_life * F.log2(similarity / score_threshold), half_life * math.log2(1 / threshold))

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Names of statuses; fixed values.
 STATUSES = ["active", "superseded", "contested", "archived", "forgotten"]
 EMBEDDING = ["pending", "ready", "failed", "skipped"]
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from recallgrid.functions import checks
+from recallgrid.functions import checks, decay
 from recallgrid.functions.sql import register
 from recallgrid.operators import evaluation, lifecycle, lookups, outcomes
 from recallgrid.plans import recall
@@ -213,6 +213,12 @@ def noise_grid(spark, d):
 _PROBES = "(SELECT label AS arm, CASE WHEN vec_id % 4 > 0 THEN vec_id % 15 + 1 END AS rank, CASE WHEN vec_id % 5 = 1 THEN 'association' ELSE 'query' END AS via, vec_id % 11 AS returned, vec_id % 400 AS memory_chars, vec_id % 90 AS association_chars, CASE WHEN vec_id % 6 = 0 THEN 'off' END AS skipped FROM embeddings)"
 
 
+@query("first_misses", "SELECT id, round(least(half_life_hours::DOUBLE * log2(strength::DOUBLE / 0.1), half_life_hours::DOUBLE * log2(20)), 6) AS hours FROM (SELECT DISTINCT ON (id) * FROM memories) m")
+def first_misses(spark, d):
+    """Hours until a memory that a query meets with its strength as relevance falls below either threshold; half lives differ by row."""
+    return lifecycle.one_each(mem(spark, d)).select("id", F.round(decay.first_miss_hours(F.col("strength").cast("double"), F.col("half_life_hours").cast("double")), 6).alias("hours"))
+
+
 @query("association_report", f"SELECT arm, count(*) AS n_probes, count(rank) AS gold_returned, count(*) FILTER (via = 'association') AS via_association, count(*) FILTER (rank = 1) AS hit1, count(*) FILTER (rank <= 10) AS hit10, avg(coalesce(1.0::DOUBLE / rank, 0)) AS mrr, sum(returned)::BIGINT AS returned, sum(memory_chars)::BIGINT AS memory_chars, sum(association_chars)::BIGINT AS association_chars, count(skipped) AS n_skipped FROM {_PROBES} p GROUP BY 1")
 def association_report(spark, d):
     p = table(spark, d, "embeddings").selectExpr("label as arm", "if(vec_id % 4 > 0, vec_id % 15 + 1, null) as rank", "if(vec_id % 5 = 1, 'association', 'query') as via", "vec_id % 11 as returned", "vec_id % 400 as memory_chars", "vec_id % 90 as association_chars", "if(vec_id % 6 = 0, 'off', null) as skipped")
