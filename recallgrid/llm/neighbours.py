@@ -32,7 +32,7 @@ from pyspark.sql.types import BinaryType, FloatType, IntegerType, StringType, St
 
 DIMENSIONS = 64
 #: Rows that the centroids are fitted on, chosen by a hash (a tenth more at most); rows of a cell; rows of a block.
-SAMPLE, CELL_ROWS, BLOCK_ROWS = 40_000, 600, 50_000
+SAMPLE, CELL_ROWS, BLOCK_ROWS = 40_000, 600, 80_000
 #: Rows of a block at least, where a small table is to use all cores.
 LEAST_BLOCK = 10_000
 #: Vectors of the sample on which the number of cells to look into is tried.
