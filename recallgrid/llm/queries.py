@@ -1,4 +1,4 @@
-"""Queries of the llm problems; those that SQL can express have DuckDB counterparts in ORACLES."""
+"""Queries of the llm problems. None has SQL: they are tested against brute force, round trips and held-out accuracy."""
 
 from __future__ import annotations
 
