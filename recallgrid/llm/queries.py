@@ -1,4 +1,4 @@
-"""Queries of the llm problems. None has SQL: they are tested against brute force, round trips and held-out accuracy."""
+"""Queries of the llm problems; those of problem 2 have SQL, the others are tested against brute force, round trips and held-out accuracy."""
 
 from __future__ import annotations
 
@@ -61,4 +61,26 @@ def p8_found(spark, d):
 
 
 QUERIES = {"p2_found": p2_found, "p2_counts": p2_counts, "p3_found": p3_found, "p3_neighbours": p3_neighbours, "p4_found": p4_found, "p4_redacted": p4_redacted, "p6_ids": p6_ids, "p7_windows": p7_windows, "p8_found": p8_found}
-ORACLES: dict[str, str] = {}
+
+def _canonical(x: str) -> str:
+    """Lower case without marks: those between two digits are bracketed twice (digits may belong to two), the others go."""
+    between = "(\\p{Nd})(\\p{P})(\\p{Nd})', '\\1' || chr(57344) || '\\2' || chr(57345) || '\\3', 'g')"
+    twice = f"regexp_replace(regexp_replace(lower({x}), '{between}, '{between}"
+    return f"regexp_replace({twice}, '(\\x{{E000}}\\p{{P}}\\x{{E001}})|[\\p{{P}}\\p{{Z}}\\p{{Cc}}\\p{{Cf}}]', '\\1', 'g')"
+
+
+_BLANK = "[\\s\\x0B\\x1C-\\x1F\\x{85}\\p{Z}]+"
+_CODED = f"""WITH m AS (SELECT DISTINCT ON (id) id, tenant_id, content, CASE WHEN json_valid(content) THEN json_type(content) = 'OBJECT' ELSE false END AS is_object FROM memories WHERE id IS NOT NULL AND tenant_id IS NOT NULL AND content IS NOT NULL),
+j AS (SELECT o.id, o.tenant_id, e.key AS name, CASE WHEN e.type = 'VARCHAR' THEN e.value ->> '$' ELSE e.value::VARCHAR END AS value FROM (SELECT * FROM m WHERE is_object) o, json_each(o.content) e),
+pieces AS (SELECT id, tenant_id, unnest(list_filter(regexp_split_to_array(content, '[;|\\n\\r\\x{{85}}\\x{{2028}}\\x{{2029}}]'), lambda x: regexp_replace(x, '{_BLANK}', '', 'g') <> '')) AS piece FROM m WHERE NOT is_object),
+f AS (SELECT id, tenant_id, regexp_extract(piece, '^([^:=]*)[:=]', 1) AS name, regexp_extract(piece, '^[^:=]*[:=]((?s:.*))$', 1) AS value FROM pieces),
+lists AS (SELECT id FROM f GROUP BY 1 HAVING count(*) >= 2 AND bool_and(regexp_replace(name, '{_BLANK}', '', 'g') <> '' AND regexp_replace(value, '{_BLANK}', '', 'g') <> '' AND length(regexp_replace(name, '^{_BLANK}|{_BLANK}$', '', 'g')) <= 24)),
+fields AS (SELECT * FROM j UNION ALL SELECT f.* FROM f JOIN lists USING (id)),
+coded AS (SELECT id, tenant_id, true AS listed, list_sort(list_distinct(list({_canonical('name')} || chr(57346) || {_canonical('value')}))) AS code FROM fields GROUP BY ALL
+ UNION ALL SELECT id, tenant_id, false, [{_canonical('content')}] FROM m WHERE id NOT IN (SELECT id FROM fields))"""
+
+#: SQL of the queries that it can express, up to letters whose lower case depends on what is beside them.
+ORACLES: dict[str, str] = {
+    "p2_found": _CODED + " SELECT keep_id, id AS copy_id FROM (SELECT id, min(id) OVER (PARTITION BY tenant_id, listed, code) AS keep_id FROM coded) WHERE id <> keep_id",
+    "p2_counts": _CODED + " SELECT tenant_id, min(id) AS keep_id, count(*) AS n_copies FROM coded GROUP BY tenant_id, listed, code",
+}
