@@ -7,7 +7,7 @@ and its frequent sentence starters, and whether its numbers with a period go on
 classifies every period with these lists and divides the texts.
 
 Language is found per line: by script, and in Latin script by the words that are more frequent in one language than in others.
-These words come from the tags of at most ``LANGUAGE_SAMPLE`` documents, any language that is tagged among them. The models
+These words come from the tags of about ``LANGUAGE_SAMPLE`` documents, any language that is tagged among them. The models
 that are sent to the workers are bounded: at most 1 / ``LEAST_WORD`` words a language, and only types and collocations that
 make up at least a millionth of their language's words, so no more than a million per language and list.
 
@@ -99,7 +99,7 @@ NUMBER, LOWER, MARK = "#", "_", ","
 LEAST_SHARE, LEAST_COUNT = 1e-6, 2
 ABBREVIATION, STARTER, COLLOCATION, ORDINALS, SENTENCE_END = 0.3, 30.0, 7.88, 0.05, 0.8
 FLUSH = 400_000
-#: Tagged documents that the words of languages are fitted on, at most; the least share of its language that such a word has, and how many times its mean over languages.
+#: Documents that the words of languages are fitted on, about, of which those with a tag count; the least share of its language that such a word has, and how many times its mean over languages.
 LANGUAGE_SAMPLE, LEAST_WORD, PREFERRED = 20_000, 5e-4, 2.0
 
 
@@ -150,11 +150,11 @@ def count_words(text: str, lang: str | None, counts: Counter) -> None:
             counts[tag, "\0" + name] += n
 
 
-def learn_languages(documents: DataFrame, text: str = "text", lang: str = "lang") -> Languages:
-    """From the tags of a sample by hash; a wrong tag here and there doesn't matter, as only words well above their mean count."""
-    source = documents.select(F.col(text).cast("string").alias("t"), F.col(lang).cast("string").alias("l")).where(F.col("t").isNotNull() & F.col("l").isNotNull())
-    n = max(documents.count(), 1)
-    sample = source.where(F.pmod(F.xxhash64("t"), F.lit(n)) < LANGUAGE_SAMPLE).limit(LANGUAGE_SAMPLE + LANGUAGE_SAMPLE // 10)
+def learn_languages(documents: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> Languages:
+    """From the tags of a sample by a hash of key and text; a wrong tag here and there doesn't matter, as only words well above their mean count."""
+    tagged = F.col(text).isNotNull() & F.col(lang).isNotNull()
+    wanted = F.pmod(F.xxhash64(key, text), F.lit(max(documents.count(), 1))) < LANGUAGE_SAMPLE
+    sample = documents.where(tagged & wanted).select(F.col(text).cast("string").alias("t"), F.col(lang).cast("string").alias("l"))
 
     def count(batches):
         counts: Counter = Counter()
@@ -593,7 +593,7 @@ def _period(text: str, a: int, start: int, first: str, opener: bool, following:
 
 def sentences(documents: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """Rows ``(key, sent_start, sent_end)``: the units of every text, in two passes, the second a map without shuffle."""
-    languages = learn_languages(documents, text, lang)
+    languages = learn_languages(documents, key, text, lang)
     model = learn(documents, languages, text, lang)
     source = documents.select(F.col(key).alias("_key"), F.col(text).cast("string").alias("t"), F.col(lang).cast("string").alias("l"))
     schema = StructType([StructField("_key", source.schema["_key"].dataType), StructField("sent_start", LongType()), StructField("sent_end", LongType())])
