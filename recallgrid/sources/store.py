@@ -93,6 +93,23 @@ class Store:
             if self._versions(name := f"vectors-{space}"):
                 self.write(name, self.read(name).join(keys.select("tenant_id", "memory_id").distinct(), ["tenant_id", "memory_id"], "left_anti"))
 
+    def purge_memories(self, keys: DataFrame) -> None:
+        """Purges ``(tenant_id, memory_id)``: vectors of every space and relations at either end go first, then the memories' texts; keys, subject and hash stay.
+
+        Each step can be done again, so a purge that broke off is finished by a second one.
+        """
+        keys = keys.select("tenant_id", F.lower("memory_id").alias("memory_id")).distinct()
+        self.delete_vectors(keys)
+        if self._versions("relations"):
+            rows = self.read("relations")
+            for end in ("from_id", "to_id"):
+                rows = rows.join(keys.select("tenant_id", F.col("memory_id").alias(end)), ["tenant_id", end], "left_anti")
+            self.write("relations", rows)
+        rows = self.read("memories")
+        gone = keys.select("tenant_id", F.col("memory_id").alias("id"), F.lit(True).alias("_gone"))
+        empty = {c: F.when(F.col("_gone"), F.lit("")).otherwise(F.col(c)).alias(c) for c in ("content", "digest")} | {"status": F.when(F.col("_gone"), "forgotten").otherwise(F.col("status")).alias("status")}
+        self.write("memories", rows.join(gone, ["tenant_id", "id"], "left").select(*[empty.get(c, F.col(c)) for c in rows.columns]))
+
     def erase_tenant(self, tenant: str) -> dict[str, int]:
         """Deletes a tenant from every table that has the column, dependent tables first; rows deleted by table."""
         order = sorted(self.names(), key=lambda n: (n == "memories", n == "observations", n == "tenant_settings", n))

@@ -72,6 +72,20 @@ def test_vectors_settings_spaces_and_erasure(spark, tmp_path, memories):
         s.read("nothing")
 
 
+def test_purged_memories_lose_their_texts_vectors_and_relations(spark, tmp_path):
+    s = Store(spark, str(tmp_path / "s"))
+    m = spark.createDataFrame([("t", i, "text", "d", "active", "h") for i in "abc"], "tenant_id string, id string, content string, digest string, status string, content_hash string")
+    s.write("memories", m)
+    s.register_space("one", 1)
+    s.upsert_vectors("one", spark.createDataFrame([("t", i, [1.0], NOW) for i in "abc"], "tenant_id string, memory_id string, embedding array<float>, created_at timestamp_ntz"), m)
+    s.append_relations(spark.createDataFrame([("t", "a", "b"), ("t", "c", "a"), ("t", "b", "c")], "tenant_id string, from_id string, to_id string"), m)
+    keys = spark.createDataFrame([("t", "A"), ("t", "A"), ("u", "b")], "tenant_id string, memory_id string")
+    for _ in range(2):
+        s.purge_memories(keys)
+        assert {tuple(r) for r in s.read("memories").collect()} == {("t", "a", "", "", "forgotten", "h"), ("t", "b", "text", "d", "active", "h"), ("t", "c", "text", "d", "active", "h")}
+        assert {r.memory_id for r in s.read("vectors-one").collect()} == {"b", "c"} and [(r.from_id, r.to_id) for r in s.read("relations").collect()] == [("b", "c")]
+
+
 def test_lookups(spark):
     rows = spark.createDataFrame([("t", ID + "1"), ("t", ID + "1"), ("u", ID + "2")], "tenant_id string, id string")
     assert lookups.point(rows, "t", (ID + "1").upper()).count() == 1
