@@ -49,10 +49,13 @@ def event_ownership(spark, d):
     return store.with_ownership(events, mem(spark, d), "memory_id").select("id", "memory_id", "owned")
 
 
-@query("relations_refused", f"WITH r AS (SELECT tenant_id, id AS from_id, lower(superseded_by_id) AS to_id FROM {MEM} m WHERE superseded_by_id IS NOT NULL) SELECT tenant_id, from_id, to_id FROM r WHERE NOT EXISTS (SELECT 1 FROM {MEM} m WHERE m.tenant_id = r.tenant_id AND m.id = r.to_id)")
+# Supersession links hold; a contested memory's link to its observation leads to no memory.
+@query("relations_refused", f"""WITH r AS (SELECT tenant_id, id AS from_id, lower(superseded_by_id) AS to_id FROM {MEM} m WHERE superseded_by_id IS NOT NULL UNION SELECT tenant_id, id, lower(source_observation_id) FROM {MEM} m WHERE status = 'contested' AND source_observation_id IS NOT NULL)
+SELECT tenant_id, from_id, to_id FROM r WHERE NOT EXISTS (SELECT 1 FROM {MEM} m WHERE m.tenant_id = r.tenant_id AND m.id = r.to_id)""")
 def relations_refused(spark, d):
-    links = lifecycle.one_each(mem(spark, d)).where("superseded_by_id is not null").select("tenant_id", F.col("id").alias("from_id"), F.lower("superseded_by_id").alias("to_id"))
-    return store.foreign_targets(links, mem(spark, d), "to_id")
+    m = mem(spark, d)
+    links = [m.where(c).select("tenant_id", F.col("id").alias("from_id"), F.lower(k).alias("to_id")) for c, k in (("superseded_by_id is not null", "superseded_by_id"), ("status = 'contested' and source_observation_id is not null", "source_observation_id"))]
+    return store.foreign_targets(links[0].unionByName(links[1]).distinct(), m, "to_id")
 
 
 @query("vectors_stored", "SELECT memory_id, model, created_at, len(embedding) AS n, coalesce(embedding[1]::FLOAT, 0) AS first FROM memory_vectors")
