@@ -248,7 +248,7 @@ def pii_spans(records: DataFrame, key: str, text: str, json_text: bool, name: st
 
 
 def redacted(records: DataFrame, key: str, text: str, json_text: bool, name: str, weights: str = WEIGHTS) -> DataFrame:
-    """Rows ``(rec_table, rec_id, redacted)``: every record's text with placeholders such as [EMAIL]; null stays null."""
+    """Rows ``(rec_table, rec_id, redacted)``: every row's text with placeholders such as [EMAIL]; null stays null, a row that was exported twice comes out twice."""
     schema = StructType([StructField(c, StringType()) for c in ("rec_id", "redacted")])
 
     def run(batches):
